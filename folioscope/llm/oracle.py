@@ -18,7 +18,7 @@ def quality_sql() -> str:
     return rf"""
 with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
 w as (select k, doc_id, t, regexp_extract_all(t, '{_WORD}') as w,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '{_WORD}')) as lines from d),
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from d),
 win as (select k, i, list_slice(w, i, i + {WINDOW - 1}) as g from (select k, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) as i from w)),
 twice as (select k, g from win group by k, g having count(*) > 1),
 cov as (select k, count(distinct j) as n from (select win.k, unnest(generate_series(i, i + {WINDOW - 1})) as j from win join twice on win.k = twice.k and win.g = twice.g) group by k),
@@ -26,8 +26,8 @@ m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::
         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, len(lines)::bigint as n_lines,
         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words,
         len(regexp_extract_all(t, '!'))::bigint as n_shouts,
-        len(list_filter(w, x -> regexp_matches(x, '\p{{L}}')))::bigint as n_letter_words,
-        len(list_filter(w, x -> lower(x) in ({stops})))::bigint as n_stop_words
+        len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::bigint as n_letter_words,
+        len(list_filter(w, lambda x: lower(x) in ({stops})))::bigint as n_stop_words
       from w left join cov using (k))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and {" and ".join(ok)}) as kept
 from (select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) as base_failed from m)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import pii, quality, secrets, urls
+from folioscope.llm import bpe, packing, pii, quality, secrets, urls
 
 #: The rules that the query judges pages by; fixed values.
 URL_RULES = (
@@ -46,4 +46,16 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), ("assign", "access", "hex"), secrets.digest)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_pii, op5_url_filters, op7_secret_scans)}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_pii, op5_url_filters, op7_secret_scans, op8_byte_bpe, op10_best_fit_packing)}
