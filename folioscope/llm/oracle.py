@@ -45,4 +45,12 @@ m as (select k, max(struct_pack(n := length(h || p), l := length(h), rule := h |
 select page_id, host, path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from q left join m using (k)"""
 
 
-ORACLE = {"op3_quality_rules": quality_sql(), "op5_url_filters": urls_sql()}
+TOP_K_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as w from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+
+ORACLE = {"op2_top_k_search": TOP_K_SQL, "op3_quality_rules": quality_sql(), "op5_url_filters": urls_sql()}
