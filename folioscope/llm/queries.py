@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, packing, pii, quality, search, secrets, urls
+from folioscope.llm import bpe, near, packing, pii, quality, search, secrets, urls
 
 #: The rules that the query judges pages by; fixed values.
 URL_RULES = (
@@ -47,6 +47,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spans(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")), ("assign", "access", "hex"), secrets.digest)
 
@@ -63,4 +67,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_top_k_search, op3_quality_rules, op4_pii, op5_url_filters, op7_secret_scans, op8_byte_bpe, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_top_k_search, op3_quality_rules, op4_pii, op5_url_filters, op6_ngram_jaccard, op7_secret_scans, op8_byte_bpe, op10_best_fit_packing)}
