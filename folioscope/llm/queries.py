@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, near, packing, pii, quality, search, secrets, urls
+from folioscope.llm import bpe, lines, near, packing, pii, quality, search, secrets, urls
 
 #: The rules that the query judges pages by; fixed values.
 URL_RULES = (
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
@@ -67,4 +71,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_top_k_search, op3_quality_rules, op4_pii, op5_url_filters, op6_ngram_jaccard, op7_secret_scans, op8_byte_bpe, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k_search, op3_quality_rules, op4_pii, op5_url_filters, op6_ngram_jaccard, op7_secret_scans, op8_byte_bpe, op10_best_fit_packing)}
