@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe, lines, near, packing, pii, quality, search, secrets, urls
+from folioscope.llm import bpe, hmm, lines, near, packing, pii, quality, search, secrets, urls
 
 #: The rules that the query judges pages by; fixed values.
 URL_RULES = (
@@ -65,10 +65,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k_search, op3_quality_rules, op4_pii, op5_url_filters, op6_ngram_jaccard, op7_secret_scans, op8_byte_bpe, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_top_k_search, op3_quality_rules, op4_pii, op5_url_filters, op6_ngram_jaccard, op7_secret_scans, op8_byte_bpe, op9_lm_scoring, op10_best_fit_packing)}
