@@ -1,6 +1,527 @@
-"""Registered queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.functions import scalars
+from folioscope.operators import bow, evaluate, images, joins, ml, rules_engine, selection
+from folioscope.rules import LANGUAGE_RULES
+from folioscope.schemas import LABELS, label_dimension
+from folioscope.sources import articles as art
+from folioscope.sources import files, sinks
+from folioscope.streaming import rules_stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+LANGS = ("de", "en", "es", "fr")
+FAMILY = {"de": "germanic", "en": "germanic", "es": "romance", "fr": "romance", "NONE": "NONE"}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- rules -----------------------------------------------------------------------------------------------------
+
+
+def _re2(pattern: str) -> str:
+    """A pack's pattern for an engine whose word boundary knows ASCII only."""
+    word = pattern.removeprefix("(?i)").removeprefix(r"\b").removesuffix(r"\b")
+    return rf"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{word})(?:[^\p{{L}}\p{{N}}_]|$)"
+
+
+_RULES = ", ".join(f"({i}, '{_re2(r.pattern)}', '{r.label}', {r.confidence}::double)" for i, r in enumerate(LANGUAGE_RULES))
+_HITS = f"""with rules(rule, pattern, label, confidence) as (values {_RULES}),
+hits as (select doc_id, rule, label, confidence from documents, rules where regexp_matches(text, pattern)),
+best as (select doc_id, label, max(confidence) as c from hits group by doc_id, label),
+pred as (select d.doc_id, d.lang as gold, coalesce(arg_max(label, c * 1000 - ascii(label) - ascii(label[2]) / 1000.0), 'NONE') as pred from documents d left join best b on d.doc_id = b.doc_id group by d.doc_id, d.lang)"""
+_LABELS = ", ".join(f"('{x}')" for x in (*LANGS, "NONE"))
+_MATRIX = f""", names(x) as (values {_LABELS}),
+m as (select g.x as gold, p.x as pred, count(pred.doc_id) as n from names g cross join names p left join pred on pred.gold = g.x and pred.pred = p.x group by g.x, p.x)"""
+_STATS = """, stats as (select x as label, coalesce(sum(n) filter (gold = x and pred = x), 0)::bigint as tp, coalesce(sum(n) filter (gold <> x and pred = x), 0)::bigint as fp,
+  coalesce(sum(n) filter (gold = x and pred <> x), 0)::bigint as fn from m, names where gold = x or pred = x group by x),
+prf as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, case when tp + fn > 0 then tp / (tp + fn) else 0.0 end as r from stats),
+f as (select *, case when p + r <= 1e-6 then 0.0 else 2 * p * r / (p + r) end as f from prf)"""
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = rules_engine.predict(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", LANGUAGE_RULES)
+    return docs.select("doc_id", F.col("lang").alias("gold"), rules_engine.argmax_label(F.col("predictions"), LANGS, "NONE").alias("pred"))
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.confusion(_predicted(spark, sf_dir), labels=LANGS)
+
+
+@query(_HITS + " select doc_id, rule::int as rule, label, confidence from hits")
+def rule_hits(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(rules_engine.hits(F.col("text"), LANGUAGE_RULES)).alias("h")).select("doc_id", "h.rule", "h.label", "h.confidence")
+
+
+@query(f"with rules(rule, pattern, label, confidence) as (values {_RULES}) select doc_id, string_agg(case when regexp_matches(text, pattern) then '1' else '0' end, '' order by rule) as bits from documents, rules group by doc_id")
+def rule_vector(spark, sf_dir):
+    v = rules_engine.vector(F.col("text"), LANGUAGE_RULES)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(v, lambda x: x.cast("int").cast("string")), "").alias("bits"))
+
+
+@query(_HITS + " select label, count(*) as n from hits group by label")
+def rule_table_theta_join(spark, sf_dir):
+    rules = rules_engine.rule_table(spark, LANGUAGE_RULES)  # a table of a few rules: broadcast by its size
+    return table(spark, sf_dir, "documents").join(rules, F.expr("text rlike pattern")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id from documents where length(text) > 5 and not (" + " or ".join(f"regexp_matches(text, '{_re2(r.pattern)}')" for r in LANGUAGE_RULES) + ")")
+def unknown_captions(spark, sf_dir):
+    return rules_engine.unknown(table(spark, sf_dir, "documents"), "text", LANGUAGE_RULES).select("doc_id")
+
+
+@query(_HITS + " select doc_id, label, c as confidence from best")
+def prediction_max_merge(spark, sf_dir):
+    docs = rules_engine.predict(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", LANGUAGE_RULES)
+    return docs.select("doc_id", F.explode("predictions").alias("label", "confidence"))
+
+
+@query(_HITS + " select doc_id, gold, pred from pred")
+def rule_argmax_label(spark, sf_dir):
+    return _predicted(spark, sf_dir)
+
+
+@query(_HITS + _MATRIX + " select gold, pred, n from m")
+def confusion_label(spark, sf_dir):
+    return _matrix(spark, sf_dir)
+
+
+_FAMILY = "case {} when 'de' then 'germanic' when 'en' then 'germanic' when 'es' then 'romance' when 'fr' then 'romance' else 'NONE' end"
+
+
+@query(_HITS + f" select {_FAMILY.format('gold')} as gold, {_FAMILY.format('pred')} as pred, count(*) as n from pred group by 1, 2")
+def confusion_group(spark, sf_dir):
+    groups = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(k).alias("label"), F.lit(v).alias("grp")) for k, v in FAMILY.items()])))
+    return evaluate.confusion(evaluate.by_group(_predicted(spark, sf_dir), groups))
+
+
+@query(_HITS + _MATRIX + _STATS + " select label, tp, fp, fn, round(p, 9) as precision, round(r, 9) as recall, round(f, 9) as f from f")
+def prf_by_label(spark, sf_dir):
+    stats = evaluate.label_stats(_matrix(spark, sf_dir))
+    return stats.select("label", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f")])
+
+
+@query(_HITS + _MATRIX + _STATS + " select round(avg(f) filter (tp + fn > 0), 9) as macro_f, round(avg(f), 9) as macro_f_all from f")
+def macro_f1(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    own, every = evaluate.macro_f(m), evaluate.macro_f(m, compat=True).withColumnRenamed("macro_f", "macro_f_all")
+    return own.crossJoin(every).select(F.round("macro_f", 9).alias("macro_f"), F.round("macro_f_all", 9).alias("macro_f_all"))  # one row each
+
+
+@query(_HITS + " select count(*) as total, count(*) filter (gold = pred) as correct, round(count(*) filter (gold = pred) / count(*), 9) as accuracy from pred")
+def accuracy(spark, sf_dir):
+    return evaluate.accuracy(_matrix(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+_JUNK = "[#$%&*]{3}"
+
+
+@query(f"""with b as (select quality = 1 as g, not regexp_matches(text, '{_JUNK}') as s from documents join labels using (doc_id)),
+c as (select count(*) filter (g and s) as tp, count(*) filter (not g and s) as fp, count(*) filter (g and not s) as fn, count(*) filter (not g and not s) as tn from b)
+select tp, fp, fn, tn, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall, round(2 * tp / (2 * tp + fp + fn), 9) as f from c""")
+def binary_stats_quality(spark, sf_dir):
+    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    both = both.select((F.col("quality") == 1).alias("gold"), (~F.col("text").rlike(_JUNK)).alias("system"))
+    out = evaluate.binary(both, "gold", "system")
+    return out.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f")])
+
+
+# ---- joins -----------------------------------------------------------------------------------------------------
+
+
+@query("""with a as (select o_custkey as k, min(o_orderkey) as first_order from orders where o_orderstatus = 'O' group by 1),
+b as (select c_custkey as k, c_name as name from customer where c_acctbal > 0),
+c as (select o_custkey as k, o_orderpriority as priority from orders qualify row_number() over (partition by o_custkey order by o_orderkey) = 1)
+select coalesce(a.k, b.k, c.k) as k, first_order, name, priority from a full join b on a.k = b.k full join c on coalesce(a.k, b.k) = c.k""")
+def csv_merge_full_outer(spark, sf_dir):
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    a = orders.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("first_order"), F.col("o_orderkey").alias("at"))
+    b = customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_custkey").alias("at"))
+    c = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("at"))
+    return joins.merge_outer([a, b, c], order="at")
+
+
+@query("""with a as (select o_custkey as k, row_number() over (partition by o_custkey order by o_orderkey) as rn, o_orderkey as v from orders where o_orderstatus = 'O'),
+b as (select o_custkey as k, row_number() over (partition by o_custkey order by o_orderkey) as rn, o_orderkey as v from orders where o_orderstatus = 'F'),
+c as (select c_custkey as k, 1 as rn, c_custkey as v from customer)
+select coalesce(a.k, b.k, c.k) as k, coalesce(a.rn, b.rn, c.rn)::int as rn, a.v as v1, b.v as v2, c.v as v3 from a full join b on a.k = b.k and a.rn = b.rn full join c on coalesce(a.k, b.k) = c.k and coalesce(a.rn, b.rn) = c.rn""")
+def nway_positional_join(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), "o_orderstatus")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("v"))
+    return joins.positional_join([o.filter("o_orderstatus = 'O'"), o.filter("o_orderstatus = 'F'"), c], "k", "v", "v")
+
+
+@query("""select d.doc_id, d.lang, case when quality = 1 then 'train' else 'test' end as split from documents d join labels l using (doc_id)""")
+def train_test_split(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels")
+    a, b = joins.train_test(docs, "doc_id", labels.filter("quality = 1").select("doc_id"), labels.filter("quality = 0").select("doc_id"))
+    return a.withColumn("split", F.lit("train")).unionByName(b.withColumn("split", F.lit("test")))
+
+
+@query("""select d.doc_id, case when l.quality = 1 then 'train' else 'test' end as split from documents d join labels l using (doc_id) where l.quality = 1 or l.toxic = 1""")
+def split_train_first(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")
+    return joins.split_by_lists(docs, "doc_id", labels.filter("quality = 1").select("doc_id"), labels.filter("toxic = 1").select("doc_id"))
+
+
+@query("select count(*) as n from (select doc_id from labels where quality = 1 intersect select doc_id from labels where toxic = 1)")
+def split_overlap_check(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return labels.filter("quality = 1").select("doc_id").intersect(labels.filter("toxic = 1").select("doc_id")).agg(F.count("*").alias("n"))
+
+
+@query("select c_custkey, coalesce(r_name, n_name) as place from customer join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey and r_name <> 'ASIA'")
+def alias_resolve(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    alias = nation.join(region.filter("r_name <> 'ASIA'"), nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("old"), F.col("r_name").alias("new"))
+    own = joins.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", nation, "n_nationkey", "n_name", how="inner", name="place")
+    return joins.resolve(own, "place", alias, "old", "new").select("c_custkey", "place")
+
+
+@query("select coalesce(r_name, n_name) as k, max_by(n_nationkey, n_name) as v from nation left join region on n_regionkey = r_regionkey and r_name <> 'ASIA' group by 1")
+def alias_resolve_keys(spark, sf_dir):
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    alias = nation.join(region.filter("r_name <> 'ASIA'"), nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("old"), F.col("r_name").alias("new"))
+    return joins.resolve_keys(nation.select(F.col("n_name").alias("k"), F.col("n_nationkey").alias("v")), "k", "v", alias, "old", "new")
+
+
+@query("select doc_id, coalesce(case lang when 'de' then 1 when 'en' then 2 end, -1)::int as class_id from documents")
+def label_to_id(spark, sf_dir):
+    classes = spark.range(1).select(F.inline(F.array(F.struct(F.lit("de").alias("label"), F.lit(1).alias("id")), F.struct(F.lit("en").alias("label"), F.lit(2).alias("id")))))
+    return joins.lookup(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", classes, "label", "id", default=-1, name="class_id").select("doc_id", "class_id")
+
+
+@query("select min(doc_id) as doc_id, text from documents group by text")
+def dedupe_first(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("text", "doc_id")
+    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+
+
+@query("select d.doc_id, lang, case when quality is null then null when quality = 1 then 'good' else 'bad' end as truth from documents d left join labels l using (doc_id)")
+def ground_truth_lookup(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth"))
+    return joins.lookup(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", labels, "doc_id", "truth")
+
+
+@query("select c_custkey, coalesce(list_sort(list(distinct o_orderpriority)), ['none'])[1] as first_term, (count(o_orderkey) > 0) as known from customer left join orders on c_custkey = o_custkey group by 1")
+def enrichment_read_through(spark, sf_dir):
+    known = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sort_array(F.collect_set("o_orderpriority")).alias("terms"))
+    out = joins.enrich(table(spark, sf_dir, "customer"), "c_custkey", known, lambda missing: missing.withColumn("terms", F.array(F.lit("none"))))
+    return out.select("c_custkey", F.col("terms")[0].alias("first_term"), (F.col("terms")[0] != "none").alias("known"))
+
+
+# ---- bags of words ---------------------------------------------------------------------------------------------
+
+_TF = "with tf as (select user_id, event_type, count(*) as tf from events group by 1, 2), df as (select event_type, count(*) as df from tf group by 1), n as (select count(distinct user_id) as n from tf)"
+_TFIDF = _TF + ", t as (select tf.user_id, tf.event_type, tf, df, tf / sum(tf) over (partition by tf.user_id) * ln((n + 1) / df) as w from tf join df using (event_type), n)"
+
+
+@query(_TF + " select user_id, event_type, tf from tf")
+def tf(spark, sf_dir):
+    return bow.term_frequency(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+@query(_TF + ", cf as (select event_type, sum(tf)::bigint as cf from tf group by 1) select event_type, df, cf from df join cf using (event_type)")
+def df_cf(spark, sf_dir):
+    t = bow.term_frequency(table(spark, sf_dir, "events"), "user_id", "event_type")
+    return bow.document_frequency(t, "event_type").join(bow.collection_frequency(t, "event_type"), "event_type")
+
+
+@query(_TFIDF + " select user_id, event_type, tf, df, round(w, 9) as tfidf from t")
+def tfidf(spark, sf_dir):
+    return bow.tf_idf(table(spark, sf_dir, "events"), "user_id", "event_type").withColumn("tfidf", F.round("tfidf", 9))
+
+
+_TYPES = "select * from (select distinct event_type from events)"
+
+
+@query(_TFIDF + " select user_id, round(sum(w), 9) as total, count(*) as terms, round(max(w), 6)::float as largest from t group by user_id")
+def tfidf_wide(spark, sf_dir):
+    values = bow.tf_idf(table(spark, sf_dir, "events"), "user_id", "event_type")
+    wide = bow.wide(values, "user_id", "event_type", kind="double")
+    cells = [F.col(f"`{c}`") for c in wide.columns[1:]]
+    return wide.select("user_id", F.round(sum(cells[1:], cells[0]), 9).alias("total"), sum((F.when(c != 0, 1).otherwise(0) for c in cells), F.lit(0)).cast("long").alias("terms"), F.round(F.greatest(*cells), 6).cast("float").alias("largest"))
+
+
+@query(_TF + " select user_id, count(*) || ' ? ' || string_agg(event_type || ':' || tf, ' ' order by event_type) as line from tf group by user_id")
+def lda_lines(spark, sf_dir):
+    return bow.lda_lines(bow.term_frequency(table(spark, sf_dir, "events"), "user_id", "event_type"), "user_id", "event_type")
+
+
+@query("""with w as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) as w from documents), tf as (select doc_id, w, count(*) as tf from w where length(w) > 2 group by 1, 2)
+select w as term, count(*) as df, sum(tf)::bigint as cf from tf group by 1""")
+def document_terms(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("length(term) > 2")
+    t = bow.term_frequency(words, "doc_id", "term")
+    return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+# ---- selection -------------------------------------------------------------------------------------------------
+
+_FEATURES = ("l_discount", "l_tax", "late", "bulk")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_discount", "l_tax", (F.col("l_shipdate") >= "1997-01-01").cast("int").alias("late"), (F.col("l_quantity") > 25).cast("int").alias("bulk"), "l_returnflag")
+
+
+_UNPIVOT = """with x as (select l_discount <> 0 as l_discount, l_tax <> 0 as l_tax, l_shipdate >= '1997-01-01' as late, l_quantity > 25 as bulk, l_returnflag as label from lineitem),
+u as (unpivot x on l_discount, l_tax, late, bulk into name feature value hit)"""
+_GAIN = """, c as (select {t} feature, hit, label, count(*) as n from v group by {t} feature, hit, label),
+g as (select {t} feature, n, sum(n) over (partition by {t} feature) as s, sum(n) over (partition by {t} feature, hit) as h, sum(n) over (partition by {t} feature, label) as l from c),
+ig as (select {t} feature, sum(n / s * (log2(n / h) - log2(l / s))) as gain from g group by {t} feature)"""
+
+
+@query(_UNPIVOT + ", v as (select * from u)" + _GAIN.format(t="") + " select feature, round(gain, 9) + 0.0 as gain from ig")
+def info_gain(spark, sf_dir):
+    return selection.info_gain(_lines(spark, sf_dir), _FEATURES, "l_returnflag").select("feature", (F.round("gain", 9) + 0.0).alias("gain"))
+
+
+@query(_UNPIVOT + ", v as (select target, feature, hit, u.label = target as label from u, (select distinct label as target from x))" + _GAIN.format(t="target,") + " select target, feature, rank::int as rank from (select *, row_number() over (partition by target order by round(gain, 12) desc, feature) as rank from ig) where rank <= 2")
+def topn_one_vs_rest(spark, sf_dir):
+    return selection.top(selection.one_vs_rest(_lines(spark, sf_dir), _FEATURES, "l_returnflag"), 2, ["target"]).select("target", "feature", "rank")
+
+
+@query(_UNPIVOT + ", v as (select * from u)" + _GAIN.format(t="") + " select feature, (row_number() over (order by round(gain, 12) desc, feature))::int as rank from ig order by rank limit 3")
+def topn_features(spark, sf_dir):
+    return selection.top(selection.info_gain(_lines(spark, sf_dir), _FEATURES, "l_returnflag"), 3).select("feature", "rank")
+
+
+# ---- formats ---------------------------------------------------------------------------------------------------
+
+
+def _ints(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").cast("string").alias("label"), *[F.floor(F.col("embedding")[i].cast("double") * 1000).cast("double").alias(f"f{i}") for i in range(4)])
+
+
+_INTS = "with e as (select vec_id, label, " + ", ".join(f"floor(embedding[{i + 1}]::double * 1000)::bigint as f{i}" for i in range(4)) + " from embeddings)"
+
+
+def _classes(spark) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(str(i)).alias("label"), F.lit(i + 100).alias("id")) for i in range(5)])))
+
+
+@query(_INTS + " select vec_id, (case when label < 5 then label + 100 else -1 end) || ' 1:' || f0 || ' 2:' || f1 || ' 3:' || f2 || ' 4:' || f3 as line from e")
+def libsvm_lines(spark, sf_dir):
+    return sinks.libsvm_lines(_ints(spark, sf_dir), ["f0", "f1", "f2", "f3"], "label", _classes(spark)).select("vec_id", "line")
+
+
+@query(_INTS + " select vec_id, f0 || ' ' || f1 || ' ' || f2 || ' ' || f3 || ' ' || (case when label < 5 then label + 100 else label end) as line from e")
+def smlr_lines(spark, sf_dir):
+    return sinks.smlr_lines(_ints(spark, sf_dir), ["f0", "f1", "f2", "f3"], "label", _classes(spark)).select("vec_id", "line")
+
+
+@query("select doc_id || ' ' || lang || ' 1.0' as line from documents")
+def trec_lines(spark, sf_dir):
+    return sinks.trec_lines(table(spark, sf_dir, "documents"), "doc_id", "lang")
+
+
+@query("select doc_id || chr(9) || quality || chr(9) || toxic || chr(9) || '1.0' as line from labels")
+def debug_lines(spark, sf_dir):
+    return sinks.debug_lines(table(spark, sf_dir, "labels"), "doc_id", "quality", "toxic")
+
+
+@query("select vec_id, (case when label = 0 then 1.0 else 0 end)::float as a_b, (case when label = 1 then 0.5 else 0 end)::float as c from embeddings")
+def distribution_rows(spark, sf_dir):
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.when(F.col("label") == 0, 1.0).otherwise(1e-6), F.when(F.col("label") == 1, 0.5).otherwise(0.0)).alias("p"))
+    return sinks.distribution(p, "vec_id", "p", ['a"b', "c"])
+
+
+@query(_INTS + " select vec_id || ',' || f0 || ',' || f1 || ',' || f2 || ',' || f3 || ',' || label as line from e")
+def arff_rows(spark, sf_dir):
+    return sinks.arff_lines(_ints(spark, sf_dir).select("vec_id", "f0", "f1", "f2", "f3", "label"), "embeddings")[1]
+
+
+@query("""with b as (select vec_id, unnest(embedding) as x from embeddings), n as (select vec_id, least(floor((x::double + 1) * 4), 7)::int as bin, count(*) as n from b group by 1, 2)
+select vec_id, bin, round(n / max(n) over (partition by vec_id), 9) as share from n""")
+def embedding_hist_maxnorm(spark, sf_dir):
+    bins = F.transform("embedding", lambda x: F.least(F.floor((x.cast("double") + 1) * 4), F.lit(7)).cast("int"))
+    values = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(bins).alias("bin")).groupBy("vec_id", "bin").agg(F.count("*").cast("double").alias("n"))
+    packed = values.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("b"))
+    shares = scalars.let(F.col("b"), lambda b: F.zip_with(b, scalars.by_largest(F.transform(b, lambda x: x["n"])), lambda x, s: F.struct(x["bin"].alias("bin"), F.round(s, 9).alias("share"))))
+    return packed.select("vec_id", F.inline(shares))
+
+
+@query("""select conv_id, turn, role || ':heading' as term from conversations union all select conv_id, turn, 'turn ' || turn from conversations""")
+def mesh_terms(spark, sf_dir):
+    body = F.concat(F.lit("PMID- 1\nTI  - x\nMH  - "), F.col("role"), F.lit(":heading\nMH  - turn "), F.col("turn").cast("string"), F.lit("\nXX  - y"))
+    return files.medline_terms(table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))).select("conv_id", "turn", F.explode("terms").alias("term"))
+
+
+@query("""select user_id || chr(9) || string_agg(replace(replace(event_type, '_', ' '), ' ', '_'), '|' order by event_type) as line from (select distinct user_id, event_type from events) group by user_id""")
+def term_lines(spark, sf_dir):
+    terms = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(F.translate("event_type", "_", " "))).alias("terms"))
+    return sinks.term_lines(terms, "user_id")
+
+
+# ---- scalars, articles, dimension ------------------------------------------------------------------------------
+
+
+@query(r"""select page_id, regexp_replace(regexp_extract(url, '[^/]+$'), '\.[^.]*$', '') as base, 'p' || page_id as image_id, (page_id % 7)::int as vec_idx from pages""")
+def scalar_keys(spark, sf_dir):
+    key = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(":"), (F.col("page_id") % 7).cast("string"))
+    p = table(spark, sf_dir, "pages").select("page_id", scalars.basename(F.col("url")).alias("base"), scalars.vector_key(key).alias("k"))
+    return p.select("page_id", "base", "k.image_id", "k.vec_idx")
+
+
+@query("""select p_partkey, p_size::varchar as size_text, case when p_size < 26 then chr(65 + p_size::int) else chr(65 + (p_size // 26)::int) || chr(65 + (p_size % 26)::int) end as letters, case when p_size % 2 = 0 then '.' else '1' end as dot,
+ (p_size // 10)::double as number from part""")
+def scalar_numbers(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scalars.number_text(size.cast("double")).alias("size_text"), scalars.small_label(size).alias("letters"), scalars.dot_if_zero(size % 2).alias("dot"),
+        scalars.to_double(F.floor(size / 10).cast("string")).alias("number"),
+    )
+
+
+@query("select vec_id, list_position(embedding, list_max(embedding))::int - 1 as best, round(list_sum(list_transform(embedding, lambda x: x::double * 2)), 6) as doubled from embeddings")
+def scalar_arrays(spark, sf_dir):
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    total = F.aggregate(scalars.add(F.col("v"), scalars.scale(F.col("v"), F.lit(1.0))), F.lit(0.0), lambda a, b: a + b)
+    return e.select("vec_id", scalars.argmax(F.col("v")).cast("int").alias("best"), F.round(total, 6).alias("doubled"))
+
+
+@query("select " + " union all select ".join(f"{i} as ordinal, '{c or n}' as label, '{g}' as grp" for i, (n, c, g) in enumerate(LABELS)))
+def label_dimension_rows(spark, sf_dir):
+    return label_dimension(spark).select("ordinal", "label", "grp")
+
+
+def _as_articles(spark, sf_dir) -> DataFrame:
+    """Each document as an article with one figure and two graphics."""
+    none = F.create_map().cast("map<string,float>")
+    graphic = lambda n: F.struct(F.concat_ws("_", F.col("doc_id").cast("string"), F.lit(n)).alias("id"), none.alias("predictions"))
+    figure = F.struct(F.col("doc_id").cast("string").alias("id"), F.lit("Figure 1").alias("label"), F.col("text").alias("caption"), F.array().cast("array<string>").alias("references"), F.array(graphic("a"), graphic("b")).alias("graphics"))
+    empty = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int").alias("pmcid"), F.col("doc_id").cast("int").alias("pmid"), empty.alias("publisher"), F.col("source").alias("journal"), F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")).alias("doi"), F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("dir"), empty.alias("title"), empty.alias("subject"), F.array(figure).alias("figures"))
+
+
+@query("select doc_id || '_' || g as graphic_id, text as caption from documents, (values ('a'), ('b')) v(g)")
+def article_captions(spark, sf_dir):
+    return art.captions(_as_articles(spark, sf_dir))
+
+
+@query("select doc_id || '_' || g || ' 10.1/' || doc_id as value from documents, (values ('a'), ('b')) v(g)")
+def graphic_doi(spark, sf_dir):
+    return art.graphic_doi(_as_articles(spark, sf_dir))
+
+
+@query("select doc_id::varchar as id from documents join labels using (doc_id) where quality = 1")
+def articles_with_labels(spark, sf_dir):
+    truth = table(spark, sf_dir, "labels").filter("quality = 1").select(F.concat(F.col("doc_id").cast("string"), F.lit("_a")).alias("graphic_id"))
+    return art.with_labelled_graphic(_as_articles(spark, sf_dir), truth).select("id")
+
+
+@query(_HITS + " select doc_id || '_' || g as graphic_id, label, c::float as confidence from best, (values ('a'), ('b')) v(g)")
+def article_predictions(spark, sf_dir):
+    g = art.graphics(rules_engine.predict_articles(_as_articles(spark, sf_dir), LANGUAGE_RULES))
+    return g.select("graphic_id", F.explode("predictions").alias("label", "confidence"))
+
+
+@query(_HITS + " select 'CAP' as kind, label, count(*) as n from hits group by label union all select 'GRAPHIC', label, 2 * count(*) from hits group by label union all select '???', null, count(*) from pred where pred = 'NONE' having count(*) > 0")
+def hit_listing_counts(spark, sf_dir):
+    return rules_engine.hit_listing(_as_articles(spark, sf_dir), LANGUAGE_RULES).groupBy("kind", "label").agg(F.count("*").alias("n"))
+
+
+# ---- classifiers -----------------------------------------------------------------------------------------------
+
+
+@query("""with t as (select doc_id, case when quality = 1 then 'good' else 'bad' end as pred from labels)
+select d.doc_id, pred, round(case when pred is null then 0 when pred = 'bad' then 1 / 1.7 else 1 - 1 / 1.7 end, 9) as p_bad, round(case when pred is null then 0 when pred = 'good' then 1 / 1.7 else 1 - 1 / 1.7 end, 9) as p_good from documents d left join t using (doc_id)""")
+def precomputed_smooth(spark, sf_dir):
+    t = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
+    out = ml.precomputed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", t, ["bad", "good"], 0.7)
+    return out.select("doc_id", "pred", F.round(F.col("distribution")[0], 9).alias("p_bad"), F.round(F.col("distribution")[1], 9).alias("p_good"))
+
+
+@query("select vec_id, (case when label = 0 then 1.0 else 1 / 3.0 end)::double as p0, round(case when label = 0 then 0.3 else (case when label = 1 then 0.35 else 0.4 end) end, 9) as vote from embeddings")
+def gate_and_vote(spark, sf_dir):
+    p = lambda i: F.when(F.col("label") == i, 0.6).otherwise(0.2)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array(p(0), p(1), p(2)).alias("a"), F.array(F.lit(0.2), F.when(F.col("label") == 1, 0.1).when(F.col("label") == 0, 0.4).otherwise(0.6), F.lit(0.2)).alias("b"))
+    e = e.withColumn("gated", F.when(F.col("label") < 3, ml.sure_gate(F.col("a"), ["0", "1", "2"], ["0"])).otherwise(F.array(*[F.lit(1 / 3)] * 3)))
+    return ml.average(e, "a", "b", name="mean").select("vec_id", F.col("gated")[0].alias("p0"), F.round(F.col("mean")[1], 9).alias("vote"))
+
+
+@query("""with n as (select lang, count(*) as n from documents group by 1) select d.doc_id, round((2 + (1 / (select count(*) from n)) / (n / (select sum(n) from n))) / 3, 9) as weight from documents d join n using (lang)""")
+def class_weights(spark, sf_dir):
+    return ml.class_weights(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang").select("doc_id", F.round("weight", 9).alias("weight"))
+
+
+@query("select l_returnflag as label, count(*) as n from lineitem where l_returnflag in ('A', 'R') group by 1")
+def mapped_labels(spark, sf_dir):
+    out = table(spark, sf_dir, "lineitem").select(ml.map_labels(F.col("l_returnflag"), {"A": "A", "R": "R"}).alias("label"))
+    return ml.clean(out, "label").groupBy("label").agg(F.count("*").alias("n"))
+
+
+def _vectors(spark, sf_dir, width: int = 16) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e_{i}") for i in range(width)])
+
+
+@query()
+def svm_cross_validation(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return ml.cross_validate(v, "vec_id", ml.prefix_features(v, "e_"), "label", ml.svm(iterations=5), k=3)
+
+
+@query()
+def logistic_split(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return ml.evaluate_split(v.filter("vec_id % 3 <> 0"), v.filter("vec_id % 3 = 0"), ml.prefix_features(v, "e_"), "label", ml.logistic(iterations=20)).select("vec_id", "label", "pred", "distribution")
+
+
+@query()
+def hierarchical_paths(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    names = [str(i) for i in range(10)]
+    tree = ml.Hierarchy({"root": ["low", "high"], "low": names[:5], "high": ["mid", "top"], "mid": names[5:8], "top": names[8:]}, "root")
+    return ml.hierarchical(tree, ml.logistic(iterations=10), weighted=True)(v, ml.prefix_features(v, "e_"), "label")(v).select("vec_id", "label", "pred", "distribution")
+
+
+@query()
+def visual_words(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    _, words = ml.kmeans(e, "embedding", 8)
+    return bow.tf_idf(words, "label", "cluster_id")
+
+
+@query()
+def cluster_membership(spark, sf_dir):
+    v = _vectors(spark, sf_dir, 4)
+    return ml.cluster_membership(v, ml.prefix_features(v, "e_"), 3).select("vec_id", "membership_0", "membership_1", "membership_2")
+
+
+@query()
+def image_features(spark, sf_dir):
+    """Embeddings drawn as 8 x 8 grey images, through the extractors."""
+    grey: Column = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127))).cast("int"))
+    data = F.unhex(F.array_join(F.transform(grey, lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")), ""))
+    drawn = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    return images.extract(drawn, "histogram,mean,edgehistogram,tamura")
+
+
+@query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def event_windows(spark, sf_dir):
+    return rules_stream.event_windows(table(spark, sf_dir, "events"))
