@@ -170,21 +170,40 @@ class Transducer:
         raise ValueError("the vocabulary lacks a byte")
 
 
-class PartMemo(dict):
-    """The ids of a part as little-endian unsigned 32-bit integers; made when missing, forgotten when full."""
+class Memo(dict):
+    """What ``make`` gives for a string, remembered in two generations of ``room`` entries: those still asked for move on, the rest are forgotten."""
 
     def __init__(self, make, room: int = MEMO):
         super().__init__()
-        self.make, self.room, self.after_blank = make, room, AfterBlank(self)
+        self.make, self.room, self.old = make, room, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids = self.make(part)
+        ids = self.old.get(part)
+        if ids is None:
+            ids = self.make(part)
         if len(part) <= LONG:
             if len(self) >= self.room:
+                self.old = dict(self)
                 self.clear()
             self[part] = ids
         return ids
 
+
+class PartMemo(Memo):
+    """Ids as little-endian unsigned 32-bit integers, by part; and, by what follows a blank, of the blank and it."""
+
+    def __init__(self, make, room: int = MEMO):
+        super().__init__(make, room)
+        self.after_blank = Memo(self._after_blank, room)
+
+    def _after_blank(self, rest: str) -> bytes:
+        return b"".join(map(self.__getitem__, PART.findall(" " + rest))) if DOUBLE.search(rest) else self.make(" " + rest)
+
+    def join(self, pieces: list[str]) -> bytes:
+        """Ids of the pieces of a part."""
+        first = self.after_blank[pieces[0][1:]] if len(pieces[0]) > 1 and pieces[0][0] == " " else self[pieces[0]]
+        return first + b"".join(map(self.__getitem__, pieces[1:]))
+
     def encode(self, text: str) -> bytes:
         """Text without two white characters in a row falls apart at blanks, which is quicker than a pattern."""
         if DOUBLE.search(text):
@@ -193,24 +212,6 @@ class PartMemo(dict):
         return b"".join([*map(self.__getitem__, PART.findall(first)), *map(self.after_blank.__getitem__, rest)])
 
 
-class AfterBlank(dict):
-    """The ids of a blank and what follows it, by what follows it."""
-
-    def __init__(self, parts: PartMemo):
-        super().__init__()
-        self.parts = parts
-
-    def __missing__(self, rest: str) -> bytes:
-        if DOUBLE.search(rest):
-            return b"".join(map(self.parts.__getitem__, PART.findall(" " + rest)))
-        ids = self.parts.make(" " + rest)
-        if len(rest) < LONG:
-            if len(self) >= self.parts.room:
-                self.clear()
-            self[rest] = ids
-        return ids
-
-
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
@@ -221,8 +222,7 @@ class Codec:
         pieces = self.pieces.findall(part)
         if len(pieces) == 1:
             return array("I", self.piece(part)).tobytes()
-        first = self.memo.after_blank[pieces[0][1:]] if len(pieces[0]) > 1 and pieces[0][0] == " " else self.memo[pieces[0]]
-        return first + b"".join(map(self.memo.__getitem__, pieces[1:]))
+        return self.memo.join(pieces)
 
     def piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")

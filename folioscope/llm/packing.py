@@ -45,20 +45,27 @@ def _memo(path: str, pattern: str):
 
     from folioscope.llm.bpe import PartMemo, with_spaces
 
-    tokenizer, pieces = Tokenizer.from_file(path), regex.compile(with_spaces(pattern))
-    tokenizer.encode_special_tokens = True
+    pieces = regex.compile(with_spaces(pattern))
+    model, letters = Tokenizer.from_file(path).model, byte_letters()
 
     def make(part: str) -> bytes:
         found = pieces.findall(part)
         if len(found) > 1:
-            first = memo.after_blank[found[0][1:]] if len(found[0]) > 1 and found[0][0] == " " else memo[found[0]]
-            return first + b"".join(map(memo.__getitem__, found[1:]))
-        return array("I", tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            return memo.join(found)
+        written = part.encode("utf-8").decode("latin-1").translate(letters)
+        return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
     memo = PartMemo(make)
     return memo
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; the first may be shorter."""
     first = n % capacity or min(n, capacity)

@@ -51,7 +51,7 @@ def test_transducer_equals_library(text):
 
 def test_long_pieces_and_full_memos(tik):
     c = bpe.Codec(bpe.read_ranks(RANKS), P.PATTERN)
-    c.memo.room = 5
+    c.memo.room = c.memo.after_blank.room = 5
     rng = random.Random(1)
     for s in ["a" * 9000, "ab" * 4000, " " * 2000, "=" * 3000 + "x", "\n" * 999 + "x", "0123456789" * 500, *(" ".join("".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 14))) for _ in range(40)) for _ in range(50))]:
         assert ids_of(c.encode(s)) == tik.encode_ordinary(s)
