@@ -56,7 +56,8 @@ def predict_articles(articles: DataFrame, rules: Sequence[Rule] = CAPTION_RULES,
 
     def figure(f: Column) -> Column:
         found = best_by_label(make(f["caption"])).cast("map<string,float>")
-        return F.struct(*[f[c].alias(c) for c in ("id", "label", "caption", "references")], F.transform(f["graphics"], lambda g: graphic(g, found)).alias("graphics"))
+        merged = let(found, lambda m: F.transform(f["graphics"], lambda g: graphic(g, m)))
+        return F.struct(*[f[c].alias(c) for c in ("id", "label", "caption", "references")], merged.alias("graphics"))
 
     return articles.withColumn("figures", F.transform("figures", figure))
 

@@ -456,7 +456,7 @@ def precomputed_smooth(spark, sf_dir):
     return out.select("doc_id", "pred", F.round(F.col("distribution")[0], 9).alias("p_bad"), F.round(F.col("distribution")[1], 9).alias("p_good"))
 
 
-@query("select vec_id, (case when label = 0 then 1.0 else 1 / 3.0 end)::double as p0, round(case when label = 0 then 0.3 else (case when label = 1 then 0.35 else 0.4 end) end, 9) as vote from embeddings")
+@query("select vec_id, (case when label = 0 then 1.0 else 1 / 3.0 end)::double as p0, (case when label = 0 then 0.3 else (case when label = 1 then 0.35 else 0.4 end) end)::double as vote from embeddings")
 def gate_and_vote(spark, sf_dir):
     p = lambda i: F.when(F.col("label") == i, 0.6).otherwise(0.2)
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array(p(0), p(1), p(2)).alias("a"), F.array(F.lit(0.2), F.when(F.col("label") == 1, 0.1).when(F.col("label") == 0, 0.4).otherwise(0.6), F.lit(0.2)).alias("b"))

@@ -34,6 +34,6 @@ def enrich_stream(keys: DataFrame, key: str, known: Callable[[], DataFrame], fet
 
 def event_windows(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events and their total value by window and type; in a stream, windows close once ``late`` has passed."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = source.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
