@@ -28,6 +28,8 @@ def load_images(spark: SparkSession, path: str) -> DataFrame:
 
 def extract(images: DataFrame, names: str) -> DataFrame:
     """(key, vec_idx, vector): one row a vector."""
+    from folioscope.operators import keypoints  # noqa: F401  it adds its extractors to the table
+
     chosen = [EXTRACTORS[n.strip()] for n in names.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
