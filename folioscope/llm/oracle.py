@@ -28,7 +28,8 @@ m as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::
         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words,
         len(regexp_extract_all(t, '!'))::bigint as n_shouts,
         len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::bigint as n_letter_words,
-        len(list_filter(w, lambda x: lower(x) in ({stops})))::bigint as n_stop_words
+        len(list_filter(w, lambda x: lower(x) in ({stops})))::bigint as n_stop_words,
+        len(list_filter(w, lambda x, i: i > 1 and x = w[i - 1]))::bigint as n_echoes
       from w left join cov using (k))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and {" and ".join(ok)}) as kept
 from (select *, (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) as base_failed from m)"""

@@ -49,6 +49,7 @@ RULES = (
     Threshold("shouts_per_word", "n_shouts", "n_words", None, 0.3),
     Threshold("letter_words", "n_letter_words", "n_words", 0.7, None),
     Threshold("stop_words", "n_stop_words", "n_words", 0.02, None),
+    Threshold("echoes", "n_echoes", "n_words", None, 0.3),
     Threshold("dup_lines", "n_dup_lines", "n_lines", None, 0.4),
 )
 
@@ -80,8 +81,8 @@ def _covered(windows: Column) -> Column:
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shouts, n_letter_words, n_stop_words."""
-    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts", "n_letter_words", "n_stop_words"]
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shouts, n_letter_words, n_stop_words and n_echoes (words equal to the one before)."""
+    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts", "n_letter_words", "n_stop_words", "n_echoes"]
     kept = [c for c in df.columns if c not in made]
     t = whole(F.col(text))
     staged = df.select(
@@ -105,6 +106,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.col("__shouts").cast("long").alias("n_shouts"),
         F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))).cast("long").alias("n_letter_words"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_echoes"),
     )
 
 
