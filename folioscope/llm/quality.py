@@ -126,7 +126,7 @@ def broken(rules: tuple[Threshold, ...] = RULES) -> Column:
 
 
 def quality(df: DataFrame, text: str = "text", rules: tuple[Threshold, ...] = RULES) -> DataFrame:
-    """Adds the measures, base_failed, broken_rules and kept."""
+    """Adds the measures, base_failed, broken_rules and kept. To filter by them use ``_native.keep_where``, which keeps them computed once."""
     out = measures(df, text)
     out = out.withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -9,13 +9,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary folder becomes it."""
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one temporary folder becomes the checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='folioscope-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _own:
+        _own.append(f"file://{tempfile.mkdtemp(prefix='folioscope-')}")
+        spark.sparkContext.setCheckpointDir(_own[0])
+    return _own[0]
 
 
 def drop(spark: SparkSession, path: str) -> None:
