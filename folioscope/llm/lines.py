@@ -98,27 +98,35 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     made = ["n_lines", "n_removed"]
     names = [c for c in df.columns if c not in made]
     docs = df.select(F.xxhash64(F.col(key), F.col(text)).alias("__row"), *names)
-    source = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("t")).filter("t is not null")
-    lines = source.select("id", "row", F.posexplode(F.split("t", "\n")).alias("no", "raw")).select("id", "row", "no", F.btrim("raw", F.lit(BLANKS)).alias("norm"))
-    short = F.length("norm") < min_chars
-    long_lines = lines.filter(~short)
-    line = F.xxhash64("norm").alias("line")
-    firsts = long_lines.groupBy(line).agg(F.min(F.struct("id", "row", "no")).alias("at"))
-
-    keyed = long_lines.select(line, F.explode(_halves(F.col("norm"), min_fuzzy)).alias("k"))
+    split = F.split(F.col(text), "\n")
+    norm = lambda raw: F.btrim(raw, F.lit(BLANKS))
+    source = docs.filter(F.col(text).isNotNull()).select(_id(key), F.col("__row").alias("row"), F.posexplode(split).alias("no", "raw"))
+    lines = source.select("id", "row", "no", norm(F.col("raw")).alias("norm")).filter(F.length("norm") >= min_chars)
+    lines = lines.select(F.xxhash64("norm").alias("line"), F.struct("id", "row", "no").alias("at"), _halves(F.col("norm"), min_fuzzy).alias("ks"))
+    # One row a distinct line. The filter is always true; it keeps every use of this table on the same columns, so that they share one exchange; so does that of picked.
+    firsts = lines.groupBy("line").agg(F.min("at").alias("at"), F.max("ks").alias("ks")).filter("at is not null and size(ks) >= 0")
+
+    keyed = firsts.select("line", F.explode("ks").alias("k"))
     near = keyed.join(_shared(keyed, "k"), "k").select("line").distinct()
-    wanted = firsts.join(near, "line").groupBy(F.col("at.row").alias("__row")).agg(F.collect_list(F.struct("line", "at")).alias("__want"))
+    wanted = firsts.join(near, "line").groupBy(F.col("at.row").alias("__row")).agg(F.collect_list(F.struct("line", "at.no")).alias("__want"))
     picked = docs.join(wanted, "__row").select(
-        F.explode(let(F.split(F.col(text), "\n"), lambda all_: F.transform("__want", lambda w: F.struct(w["line"].alias("line"), w["at"].alias("at"), F.btrim(F.get(all_, w["at"]["no"]), F.lit(BLANKS)).alias("norm"))))).alias("x")
-    ).select("x.*").dropDuplicates(["line"])
+        _id(key), F.col("__row").alias("row"), F.explode(let(split, lambda all_: F.transform("__want", lambda w: F.struct(w["line"].alias("line"), w["no"].alias("no"), norm(F.get(all_, w["no"])).alias("norm"))))).alias("x")
+    )
+    picked = picked.select("x.line", F.struct("id", "row", "x.no").alias("at"), "x.norm").dropDuplicates(["line"]).filter("at.id <= 9223372036854775807 and length(norm) >= 0")
     gone = _neighbours(picked)
 
-    keep = firsts.join(gone, "line", "left_anti").select("at.row", "at.no").unionByName(lines.filter(short).select("row", "no").distinct())
-    keep = keep.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("no")).alias("__keep"))
+    keep = firsts.join(gone, "line", "left_anti").groupBy(F.col("at.row").alias("__row")).agg(F.collect_list("at.no").alias("__keep"))
     joined = docs.join(keep, "__row", "left").dropDuplicates(["__row"])
-    none = F.array().cast("array<int>")
-    split = F.split(F.col(text), "\n")
-    kept_no = F.coalesce("__keep", none)
-    new = F.when(F.col(text).isNotNull() & (F.size(split) > F.size(kept_no)), let(split, lambda all_: F.array_join(F.transform(kept_no, lambda i: F.get(all_, i)), "\n"))).otherwise(F.col(text))
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in names], n.cast("long").alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(n - F.size(kept_no)).cast("long").alias("n_removed"))
+
+    def rebuilt(all_: Column) -> Column:
+        short = F.filter(F.transform(all_, lambda x, i: F.when(F.length(norm(x)) < min_chars, i)), lambda i: i.isNotNull())
+        stay = F.array_sort(F.concat(short, F.coalesce("__keep", F.array().cast("array<int>"))))
+        return let(stay, lambda k: F.struct(F.size(all_).alias("n"), F.size(k).alias("k"), F.array_join(F.transform(k, lambda i: F.get(all_, i)), "\n").alias("t")))
+
+    joined = joined.withColumn("__new", F.when(F.col(text).isNotNull(), let(split, rebuilt)))
+    n, k = F.coalesce("__new.n", F.lit(0)), F.coalesce("__new.k", F.lit(0))
+    return joined.select(*[F.col("__new.t").alias(c) if c == text else F.col(c) for c in names], n.cast("long").alias("n_lines"), (n - k).cast("long").alias("n_removed"))
+
+
+def _id(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id")
