@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import lines, near, packing, quality, secrets
+from folioscope.llm._native import keep_where
 from folioscope.llm.storage import kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,12 +19,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality.quality(docs).filter("kept").select(COLUMNS)
+    return keep_where(quality.quality(docs), "kept").select(COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of a line go, and documents that had nothing else; n_chars follows the text."""
-    out = lines.dedup_lines(docs.select(COLUMNS)).filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    out = keep_where(lines.dedup_lines(docs.select(COLUMNS)), (F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

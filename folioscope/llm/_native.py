@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words: the space and the five ASCII control characters from tab to carriage return.
@@ -18,6 +18,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def keep_where(df: DataFrame, condition: str | Column) -> DataFrame:
+    """df.filter(condition), where the condition's columns are computed once, below the filter.
+
+    The optimizer would move a filter below the projection that makes its columns and so write their expressions out in
+    it, once for each mention. It doesn't move a filter past a column that isn't deterministic.
+    """
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    return df.withColumn("__at", F.monotonically_increasing_id()).filter(condition & (F.col("__at") >= 0)).drop("__at")
+
+
 def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
