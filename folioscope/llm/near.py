@@ -272,8 +272,8 @@ def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df but for those that a class's least id represents. Of rows equal in id and text one stays. Rows without an id stay."""
     found = kept(jaccard_join(df, key, text).select(key, "class_id"), "groups")
-    gone = found.filter(F.col("class_id") < F.col(key)).select(key).distinct()
-    stay = df.join(gone, key, "left_anti").select(df.columns)
-    repeated = found.groupBy(key).count().filter("count > 1").select(key)
-    once = stay.join(repeated, key, "left_anti").select(df.columns)
-    return once.unionByName(stay.join(repeated, key, "left_semi").select(df.columns).dropDuplicates([key, text]))
+    flags = found.groupBy(key).agg(F.max(F.col("class_id") < F.col(key)).alias("__gone"), (F.count("*") > 1).alias("__again"))
+    no = F.lit(False)
+    stay = df.join(flags, key, "left").filter(~F.coalesce("__gone", no))  # the texts move once
+    once = stay.filter(~F.coalesce("__again", no)).select(df.columns)
+    return once.unionByName(stay.filter("__again").select(df.columns).dropDuplicates([key, text]))
