@@ -475,21 +475,23 @@ def mapped_labels(spark, sf_dir):
     return ml.clean(out, "label").groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _vectors(spark, sf_dir, width: int = 16) -> DataFrame:
+def _vectors(spark, sf_dir) -> DataFrame:
+    """All components of each vector, as many as the longest has."""
     e = table(spark, sf_dir, "embeddings")
+    width = e.select(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
     return e.select("vec_id", F.col("label").cast("string").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e_{i}") for i in range(width)])
 
 
 @query()
 def svm_cross_validation(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return ml.cross_validate(v, "vec_id", ml.prefix_features(v, "e_"), "label", ml.svm(iterations=5), k=3)
+    return ml.cross_validate(v, "vec_id", ml.prefix_features(v, "e_"), "label", ml.svm())
 
 
 @query()
 def logistic_split(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return ml.evaluate_split(v.filter("vec_id % 3 <> 0"), v.filter("vec_id % 3 = 0"), ml.prefix_features(v, "e_"), "label", ml.logistic(iterations=20)).select("vec_id", "label", "pred", "distribution")
+    return ml.evaluate_split(v.filter("vec_id % 3 <> 0"), v.filter("vec_id % 3 = 0"), ml.prefix_features(v, "e_"), "label", ml.logistic()).select("vec_id", "label", "pred", "distribution")
 
 
 @query()
@@ -497,7 +499,7 @@ def hierarchical_paths(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     names = [str(i) for i in range(10)]
     tree = ml.Hierarchy({"root": ["low", "high"], "low": names[:5], "high": ["mid", "top"], "mid": names[5:8], "top": names[8:]}, "root")
-    return ml.hierarchical(tree, ml.logistic(iterations=10), weighted=True)(v, ml.prefix_features(v, "e_"), "label")(v).select("vec_id", "label", "pred", "distribution")
+    return ml.hierarchical(tree, ml.logistic(), weighted=True)(v, ml.prefix_features(v, "e_"), "label")(v).select("vec_id", "label", "pred", "distribution")
 
 
 @query()
@@ -509,7 +511,7 @@ def visual_words(spark, sf_dir):
 
 @query()
 def cluster_membership(spark, sf_dir):
-    v = _vectors(spark, sf_dir, 4)
+    v = _vectors(spark, sf_dir)
     return ml.cluster_membership(v, ml.prefix_features(v, "e_"), 3).select("vec_id", "membership_0", "membership_1", "membership_2")
 
 
