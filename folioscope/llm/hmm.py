@@ -1,15 +1,16 @@
 """A hidden Markov language model: Baum-Welch counts over partitions, exact likelihoods by the scaled forward recursion.
 
-Tokens are words with A-Z in lower case, and one end a text. Counts of all training tokens give the base score, and rank
-the vocabulary: the SYMBOLS most frequent tokens are symbols of the model, the others share the symbol ``rest``, within
-which they follow their smoothed counts; so the model gives every text a probability. Every training text takes part in
-every round: cut into stretches of SEGMENT tokens, each partition adds up its expected transitions and emissions, sums
-are shuffled by symbol, and the driver gets one row a symbol, which SYMBOLS bounds. Scores come from one forward pass over
-each whole text, with one scaling factor a token, whose logarithms add up to the likelihood.
-
-Scale: the HEAD most frequent tokens and their counts go to the workers (bounded); the remaining tokens of a text join
-the table of counts, and none of them can be frequent, so that join has no hot key. Encoded texts are written once to the
-shared folder, so rounds do not read texts again.
+Tokens are words with A-Z in lower case, and one end a text. Counts of all training tokens give the base score. Every
+token of the training texts is a symbol with emissions of its own, however many there are; one more symbol stands for all
+unseen ones; so the model gives every text a probability. Every training text takes part in every round: cut into
+stretches of SEGMENT tokens, each block of texts adds up its expected transitions and emissions, and sums are shuffled by
+symbol. Scores come from one forward pass over each whole text, with one scaling factor a token, whose logarithms add up
+to the likelihood.
+
+Scale: emissions of the SYMBOLS most frequent tokens (the head) go to the driver and the workers. Those of all others (the
+tail) are a table in the shared folder, by the token's 64-bit hash. It joins the distinct tail tokens of each block of
+about BLOCK tokens; none of them can be frequent, so that join has no hot key. SYMBOLS and BLOCK bound what a worker holds
+and change no result beyond rounding. Encoded texts are written once to the shared folder, so rounds do not read texts again.
 
 Nulls: a null text counts as empty, and is one end token. A null id is no held-out one (its checksum is null) and trains.
 Rows equal in id and text are scored alike, and each counts in training. Empty tables give no rows; without any training
@@ -19,16 +20,17 @@ linear. Extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.storage import kept
+from folioscope.llm.storage import forget, kept
 
 FOLDS, HELD_OUT = 5, 1
 HEAD = 1 << 18
@@ -40,6 +42,7 @@ STAY = 0.95
 COMMON = 0.05
 #: Segments worked on at once, and distinct tokens counted before they are handed on.
 SLAB, COUNTED = 4096, 400_000
+BLOCK = 1 << 20
 END = b"\n"  # no word holds a line feed
 
 
@@ -72,37 +75,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _HEADS: dict = {}
 
 
-def _lookup(head) -> dict[bytes, tuple[int, int, float]]:
-    """token -> (symbol, 1, log10(c + 0.5)) of the head, built once a worker."""
+def _lookup(head) -> dict[bytes, tuple[int, float]]:
+    """token -> (symbol, log10(c + 0.5)) of the head, built once a worker."""
     if head.id not in _HEADS if hasattr(head, "id") else True:
-        names, counts, symbols = head.value
+        names, counts = head.value
         logs = np.log10(np.asarray(counts, float) + 0.5).tolist()
         _HEADS.clear()
-        _HEADS[getattr(head, "id", 0)] = {t: (s, x) for t, s, x in zip(names, symbols, logs)}
+        _HEADS[getattr(head, "id", 0)] = {t: (s, x) for s, (t, x) in enumerate(zip(names, logs))}
     return _HEADS[getattr(head, "id", 0)]
 
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, head_tokens long, head_base double, n_rest long, head_rest double, ids binary, tail array<binary>"
+ENCODED = "doc_id long, held_out boolean, n_tokens long, head_tokens long, head_base double, ids binary, tail array<binary>"
 
 
 def _encode(head, rest: int, end: tuple):
-    """Symbols of each text, the head's share of its sums, and the tokens outside the head."""
+    """Symbols of each text, the head's share of its sums, and the tokens outside the head, each of which has the symbol ``rest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _lookup(head)
         for b in batches:
             rows = []
-            for row, doc, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+            for doc, text in zip(*(b.column(k).to_pylist() for k in range(2))):
                 got = list(map(known.get, words := tokens(text)))
                 tail = [w for w, g in zip(words, got) if g is None] if None in got else []
                 found = [g for g in got if g is not None] if tail else got
                 ids = np.array([rest if g is None else g[0] for g in got] + [end[0]], np.uint16)
-                logs = [g[1] for g in found]
-                others = [g[1] for g in found if g[0] == rest]
-                rows.append((row, doc, held_out(doc), len(ids), len(found) + end[1], sum(logs) + end[2], len(others) + len(tail), sum(others), ids.tobytes(), tail))
-            cols = list(zip(*rows)) or [()] * 10
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["row", "doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "n_rest", "head_rest", "ids", "tail"])
+                rows.append((doc, held_out(doc), len(ids), len(found) + end[1], sum(g[1] for g in found) + end[2], ids.tobytes(), tail))
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "ids", "tail"])
 
     return run
 
@@ -163,42 +164,160 @@ def _estep(model):
     return run
 
 
+def noise(hashes: np.ndarray, states: int) -> np.ndarray:
+    """Normal numbers that depend on a token's hash alone, so that they are the same in the head and in the tail."""
+    x = np.asarray(hashes, np.int64).view(np.uint64)[:, None] + np.arange(1, 2 * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = (((x ^ (x >> np.uint64(31))) >> np.uint64(11)) + 0.5) / 2.0**53
+    return np.sqrt(-2 * np.log(u[:, :states])) * np.cos(2 * np.pi * u[:, states:])
+
+
 def first_model(unigram: np.ndarray, states: int, seed: int = 11):
     rng = np.random.default_rng(seed)
     emit = unigram[:, None] * np.exp(rng.normal(size=(len(unigram), states)))
+    return *_first_moves(states), emit / emit.sum(0)
+
+
+def _first_moves(states: int):
     move = np.full((states, states), (1 - STAY) / max(1, states - 1))
     np.fill_diagonal(move, STAY if states > 1 else 1.0)
-    return np.full(states, 1 / states), move, emit / emit.sum(0)
+    return np.full(states, 1 / states), move
+
+
+def _updated(symbol: np.ndarray, values: np.ndarray, unigram: np.ndarray, tail_mass, others: int):
+    """(start, move, emit), the mass and the norm of each state, and the likelihood, from a round's sums; ``others`` symbols are in the tail."""
+    states = values.shape[1]
+    at = {int(s): v for s, v in zip(symbol[symbol < 0], values[symbol < 0])}
+    emits = np.zeros((len(unigram), states))
+    emits[symbol[symbol >= 0]] = values[symbol >= 0]
+    mass = emits.sum(0) + tail_mass
+    # Half a count a symbol, dealt over states, as in the base score; and a share of all states' common frequencies.
+    emits += 0.5 * mass / mass.sum() + COMMON * mass * unigram[:, None]
+    norm = emits.sum(0) + tail_mass + 0.5 * others * mass / mass.sum() + COMMON * mass * (1 - unigram.sum())
+    moves = np.vstack([at[-1 - j] for j in range(states)]) + 0.1
+    starts = at[-1000] + 0.1
+    return (starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / norm), mass, norm, float(at[-1001][0])
 
 
 def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS):
-    """(start, move, emit) after some rounds over all training texts, and each round's log10-likelihood."""
+    """(start, move, emit) after some rounds over all training texts, and each round's log10-likelihood; no token is outside the head."""
     spark = encoded.sparkSession
-    start, move, emit = first_model(unigram, states)
+    model = first_model(unigram, states)
     ids = encoded.filter("not held_out").select("ids")
     names = [f"s{j}" for j in range(states)]
     schema = "symbol long, " + ", ".join(f"{n} double" for n in names)
     history = []
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast((start, move, emit))
+        sent = spark.sparkContext.broadcast(model)
         sums = ids.mapInArrow(_estep(sent), schema).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         sent.unpersist()
         symbol, values = sums.column("symbol").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names])
-        at = {int(s): v for s, v in zip(symbol[symbol < 0], values[symbol < 0])}
-        if not at or not values[symbol >= 0].size:
+        if not values[symbol >= 0].size:
             break
-        emits = np.zeros_like(emit)
-        emits[symbol[symbol >= 0]] = values[symbol >= 0]
-        mass = emits.sum(0)
-        # Half a count a symbol, dealt over states, as in the base score; and a share of all states' common frequencies.
-        emits += 0.5 * mass / mass.sum() + COMMON * mass * unigram[:, None]
-        emit = emits / emits.sum(0)
-        moves = np.vstack([at[-1 - j] for j in range(states)]) + 0.1
-        move = moves / moves.sum(1, keepdims=True)
-        starts = at[-1000] + 0.1
-        start = starts / starts.sum()
-        history.append(float(at[-1001][0]))
-    return (start, move, emit), history
+        model, _, _, likelihood = _updated(symbol, values, unigram, 0.0, 0)
+        history.append(likelihood)
+    return model, history
+
+
+def _own_symbols(texts: pa.Table, found: pa.Table, emit: np.ndarray, rest: int):
+    """Of a block: its texts in symbols of its own, the emissions of these, and the hashes and counts of its tail's symbols."""
+    h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
+    h, first = np.unique(h, return_index=True)
+    v = found.column("v").combine_chunks().flatten().to_numpy().reshape(-1, emit.shape[1])[first].astype(float)
+    hs = texts.column("hs").to_pylist()
+    out = []
+    for x, tail in zip(texts.column("ids").to_pylist(), hs):
+        ids = np.frombuffer(x, np.uint16).astype(np.int64)
+        if tail and len(h):
+            t = np.array(tail, np.int64)
+            i = np.minimum(np.searchsorted(h, t), len(h) - 1)
+            ids[ids == rest] = np.where(h[i] == t, len(emit) + i, rest)
+        out.append(ids)
+    return out, np.vstack([emit, v]), h, c[first]
+
+
+def _block_estep(sent, rest: int):
+    """One row a symbol of a block: kind 0 as of ``_estep``, kind 1 the tail's by hash, with their counts."""
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        start, move, emit = sent.value
+        k, n = len(start), len(emit)
+        own, table, h, c = _own_symbols(texts, found, emit, rest)
+        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((len(table), k)), 0.0
+        ids, lengths = segments(own, len(table))
+        for i in range(0, len(ids), SLAB):
+            s, m, e, x = expected(ids[i : i + SLAB], lengths[i : i + SLAB], start, move, table, len(table))
+            starts, moves, emits, total = starts + s, moves + m, emits + e, total + x
+        some, tail = np.flatnonzero(emits[:n].sum(1)), np.flatnonzero(emits[n:].sum(1))
+        model = np.concatenate([-1 - np.arange(k), [-1000, -1001]]) if len(own) else np.zeros(0, int)
+        rows = np.vstack([emits[some], *([moves, starts, np.full(k, total)] if len(own) else []), emits[n:][tail]])
+        zeros = len(some) + len(model)
+        kinds = np.repeat([0, 1], [zeros, len(tail)])
+        return pa.table({
+            "kind": pa.array(kinds, pa.int32()), "symbol": pa.array(np.concatenate([some, model, h[tail]]), pa.int64()),
+            "c": pa.array(np.concatenate([np.zeros(zeros, int), c[tail]]), pa.int64()), **{f"s{j}": pa.array(rows[:, j]) for j in range(k)},
+        })
+
+    return run
+
+
+def _first_tail(states: int, half: float, all_: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            e = ((c + half) / all_)[:, None] * np.exp(noise(h, states))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(e[:, j]) for j in range(states))], ["symbol", "c", *(f"s{j}" for j in range(states))])
+
+    return run
+
+
+def _sweep(spark) -> None:
+    """Lets Spark's cleaner delete the shuffles of what is written and no longer used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def train_all(encoded: DataFrame, pairs: DataFrame, tail: DataFrame, unigram: np.ndarray, hashes: np.ndarray, others: int, all_: float, rest: int, states: int, rounds: int):
+    """The model of the head, the table (h, c, v) of the tail's emissions, and each round's log10-likelihood.
+
+    tail holds (symbol, c), the hash and count of every token outside the head; pairs (p, h) the distinct ones of each block."""
+    spark = encoded.sparkSession
+    names = [f"s{j}" for j in range(states)]
+    sums_of = lambda df: np.array([x or 0.0 for x in df.agg(*[F.sum(n) for n in names]).first()], float)
+    table = kept(tail.mapInArrow(_first_tail(states, 0.5, all_), "symbol long, c long, " + ", ".join(f"{n} double" for n in names)), "tail")
+    _sweep(spark)
+    emit = unigram[:, None] * np.exp(noise(hashes, states))
+    norm = emit.sum(0) + sums_of(table)
+    model = (*_first_moves(states), emit / norm)
+    share, mass = 0.0, np.zeros(states)
+    texts = encoded.filter("not held_out").select("p", "ids", "hs")
+    schema = "kind int, symbol long, c long, " + ", ".join(f"{n} double" for n in names)
+    history: list[float] = []
+
+    def emissions() -> DataFrame:
+        each = F.lit(share) + (COMMON if share else 0.0) * (F.col("c") + 0.5) / F.lit(all_)
+        return table.select(F.col("symbol").alias("h"), "c", F.array(*[((F.col(n) + each * float(mass[j])) / float(norm[j])).cast("float") for j, n in enumerate(names)]).alias("v"))
+
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(model)
+        found = pairs.join(emissions(), "h")
+        out = texts.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(_block_estep(sent, rest), schema)
+        done = kept(out.groupBy("kind", "symbol").agg(F.max("c").alias("c"), *[F.sum(n).alias(n) for n in names]), "round")
+        sent.unpersist()
+        sums = done.filter("kind = 0").select("symbol", *names).toArrow()
+        symbol, values = sums.column("symbol").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names])
+        if not values[symbol >= 0].size:
+            forget(done)
+            break
+        forget(table)
+        table = done.filter("kind = 1")
+        table.__dict__["path"] = done.__dict__["path"]
+        model, mass, norm, likelihood = _updated(symbol, values, unigram, sums_of(table), others)
+        share = float(0.5 / mass.sum())
+        history.append(likelihood)
+        _sweep(spark)
+    return model, emissions(), history
 
 
 def forward(texts: list[np.ndarray], start, move, emit) -> np.ndarray:
@@ -224,11 +343,23 @@ def forward(texts: list[np.ndarray], start, move, emit) -> np.ndarray:
     return out
 
 
-def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = forward([np.frombuffer(x, np.uint16).astype(np.int64) for x in b.column(b.num_columns - 1).to_pylist()], *model.value)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got)], [*b.schema.names[:-1], "states"])
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, states double"
+
+
+def _score(sent, rest: int):
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        start, move, emit = sent.value
+        own, table, _, c = _own_symbols(texts, found, emit, rest)
+        logs = np.log10(np.concatenate([[0.5], c + 0.5]))
+        n = len(emit)
+        places = [x[(x >= n) | (x == rest)] for x in own]
+        base = [logs[np.where(x == rest, 0, x - n + 1)].sum() for x in places]
+        known = [int((x >= n).sum()) for x in places]
+        add = lambda name, more, kind: pa.array(texts.column(name).to_numpy() + np.array(more, kind))
+        return pa.table({
+            "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": texts.column("n_tokens"), "n_known": add("head_tokens", known, np.int64),
+            "base": add("head_base", base, float), "states": pa.array(forward(own, start, move, table)),
+        })
 
     return run
 
@@ -236,34 +367,30 @@ def _score(model):
 def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
     spark = df.sparkSession
-    docs = df.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = kept(docs.select("doc_id", "text").mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
+    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    counts = kept(docs.mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = docs.filter(F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT, F.lit(True))).count()
-    top = counts.filter(F.col("token") != END).orderBy(F.desc("c"), "token").limit(head).toArrow()
+    words = counts.filter(F.col("token") != END).select(F.xxhash64("token").alias("symbol"), "token", "c")
+    top = words.orderBy(F.desc("c"), "token").limit(min(head, symbols, 65_000)).toArrow()
     names, c = top.column("token").to_pylist(), top.column("c").to_pylist()
-    symbols = min(symbols, len(names), 65_000)
-    rest, end = symbols, symbols + 1
-    in_model = sum(c[:symbols])
-    rest_kinds = kinds - symbols - (ends > 0)
-    rest_total = total - in_model - ends
-    z_rest = rest_total + 0.5 * rest_kinds + 0.5
-    unigram = np.array([*c[:symbols], rest_total, ends], float) + 0.5
-    unigram /= unigram.sum()
-    sent = spark.sparkContext.broadcast((names, c, [min(i, rest) for i in range(len(names))]))
-    encoded = kept(docs.mapInArrow(_encode(sent, rest, (end, int(ends > 0), float(np.log10(ends + 0.5)))), ENCODED), "encoded")
-    model, _ = train(encoded, unigram, states, rounds)
+    rest, end = len(names), len(names) + 1
+    tail = words.filter((F.col("c") < c[-1]) | ((F.col("c") == c[-1]) & (F.col("token") > F.lit(bytearray(names[-1]))))) if names else words
+    # All tokens, the end, and one that stands for the unseen.
+    others = kinds - len(names) - (ends > 0)
+    all_ = total + 0.5 * (len(names) + 2 + others)
+    unigram = (np.array([*c, 0, ends], float) + 0.5) / all_
+    hashes = np.array([*top.column("symbol").to_pylist(), 1, 2], np.int64)
+    sent = spark.sparkContext.broadcast((names, c))
+    encoded = docs.mapInArrow(_encode(sent, rest, (end, int(ends > 0), float(np.log10(ends + 0.5)))), ENCODED)
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + total // BLOCK)).alias("p")
+    encoded = kept(encoded.select(block, *[x.split()[0] for x in ENCODED.split(", ")[:-1]], F.transform("tail", lambda t: F.xxhash64(t)).alias("hs")), "encoded")
+    pairs = kept(encoded.select("p", F.explode(F.array_distinct("hs")).alias("h")).distinct(), "pairs")
+    model, emissions, _ = train_all(encoded, pairs, tail.select("symbol", "c"), unigram, hashes, others, all_, rest, states, rounds)
     final = spark.sparkContext.broadcast(model)
-    fields = ["row", "doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "n_rest", "head_rest"]
-    scored = encoded.select(*fields, "ids").mapInArrow(_score(final), ENCODED.rsplit(", ids", 1)[0] + ", states double")
-    tail = encoded.select("row", F.explode("tail").alias("token")).join(counts, "token", "left")
-    tail = tail.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_base"), F.count("c").alias("tail_known"))
-    both = scored.join(tail, "row", "left")
-    copies = F.count("*").over(Window.partitionBy("row"))  # equal rows have added up in the tail's sums
-    both = both.withColumn("tail_base", F.coalesce(F.col("tail_base") / copies, F.lit(0.0))).withColumn("tail_known", F.coalesce((F.col("tail_known") / copies).cast("long"), F.lit(0).cast("long")))
+    scored = encoded.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("p")).applyInArrow(_score(final, rest), SCORED)
     per_token = float(np.log10(total + 0.5 * (kinds + 1)))
-    return both.select(
-        F.col("doc_id").alias(key), "held_out", "n_tokens", (F.col("head_tokens") + F.col("tail_known")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.col("tail_base") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"),
-        (F.col("states") + F.col("head_rest") + F.col("tail_base") - F.col("n_rest") * F.lit(float(np.log10(z_rest)))).alias("score"),
+    return scored.select(
+        F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), F.col("states").alias("score"),
     )

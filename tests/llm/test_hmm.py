@@ -80,3 +80,11 @@ def test_rounds_raise_the_likelihood(spark, sf_dir):
     enc = spark.createDataFrame([(i.tobytes(), False) for i in ids], "ids binary, held_out boolean")
     _, history = hmm.train(enc, np.full(52, 1 / 52), 3, 4)
     assert all(b > a for a, b in zip(history, history[1:]))
+
+
+def test_every_token_has_emissions_of_its_own(spark, sf_dir, monkeypatch):
+    """How many symbols go to the workers, and how texts are blocked, changes no score."""
+    monkeypatch.setattr(hmm, "BLOCK", 5000)
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(80)
+    few, all_ = ({r.doc_id: r.score for r in hmm.language_model(df, symbols=n, rounds=3).collect()} for n in (20, 1 << 15))
+    assert few.keys() == all_.keys() and all(math.isclose(few[i], all_[i], rel_tol=1e-4) for i in few)
