@@ -3,7 +3,8 @@
 Candidates are runs of 20 or more key characters. Each is put into a character class (hex, base64, mixed); a window
 moves over it, and the sum of c*log2(c) over the window's counts is updated as one character enters and one leaves, so
 no window is counted anew. A candidate whose highest window entropy passes its class's threshold becomes a span of
-kind ``entropy``, unless the allow-list knows it or a base span overlaps it.
+kind ``entropy``, unless the allow-list knows it or a base span overlaps it. Words of the allow-list cut a candidate into
+parts that are judged by themselves, so a key joined to such a word is found.
 
 Nulls: a null text counts as empty and has no spans. Empty texts: none. Very long texts are scanned whole; patterns use
 possessive repeats, so a match costs linear time and no stack. Ties: spans are sorted by start, then kind as listed.
@@ -39,8 +40,9 @@ ALLOWED = (
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^/?(?:[a-z0-9._-]{1,15}/)+[a-z0-9._-]{0,15}$",
-    r"(?i)example|sample|placeholder|changeme|xxxxx|01234567|abcdefgh",
 )
+#: Words of harmless strings; what stands before, between and after them is looked at by itself.
+ALLOWED_WORDS = r"(?i)example|sample|placeholder|changeme|xxxxx|01234567|abcdefgh"
 
 
 def entropy(candidate: Column, window: int = WINDOW) -> Column:
@@ -78,7 +80,7 @@ def _suspicious(m: Column) -> Column:
     least = F.lit(99.0)
     for _, pattern, bits in reversed(CLASSES):
         least = F.when(m.rlike(pattern), bits).otherwise(least)
-    return F.when(allowed, False).otherwise(entropy(m) >= least)
+    return F.when((F.length(m) < WINDOW) | allowed, False).otherwise(entropy(m) >= least)
 
 
 def _long_enough(m: Column) -> Column:
@@ -96,7 +98,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         F.filter(found(t, ASSIGN), lambda x: _long_enough(x["m"])).alias("__assign"),
         found(t, ACCESS).alias("__access"),
         found(t, HEX).alias("__hex"),
-        F.filter(found(t, CANDIDATE), lambda x: _suspicious(x["m"])).alias("__more"),
+        F.filter(found(t, CANDIDATE), lambda x: F.exists(F.split(x["m"], ALLOWED_WORDS), _suspicious)).alias("__more"),
     )
     out = out.select(
         *kept, "__more",

@@ -98,6 +98,15 @@ def test_methods_add_spans_and_leave_prose_alone(spark):
     assert s[15] == [("entropy", "Zm9vYmFyQmF6MTIzNDU2Nzg5MHF3ZXJ0eXVpb3A=")]
 
 
+def test_allowed_words_do_not_hide_a_key_beside_them(spark):
+    key = "q7Rk2ZpX9vLw4TnB8sYc1HdJ6mGf3AeU5oKi0WxN"
+    found = [f"sample_key={key}", f"docs/example/{key}", f"{key}_placeholder"]
+    left = ["sample_key=abc123", "docs/example/some/long/path/number/12", "example-0123456789-abcdefghijkl", "placeholder_placeholder_1"]
+    docs = spark.createDataFrame(list(enumerate(found + left)), "doc_id long, text string")
+    got = {r.doc_id: [(x.k, x.m) for x in r.spans] for r in secrets.scan(docs).collect()}
+    assert [got[i] for i in range(len(found + left))] == [[("entropy", t)] for t in found] + [[]] * len(left)
+
+
 def test_clean_documents_get_no_added_spans(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert secrets.scan(docs).filter("size(spans) > size(base_spans)").count() == 0
