@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 #: What separates words: the space and the five ASCII control characters from tab to carriage return.
 BLANKS = " \t\n\x0b\f\r"
@@ -13,6 +14,21 @@ BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column's name begins with, for columns of an operator's own."""
+    out = "__"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
+def whole_id(df: DataFrame, key: str) -> Column:
+    """The id column as a long; a TypeError where it holds no whole numbers."""
+    if not isinstance(df.schema[key].dataType, IntegralType | NullType):
+        raise TypeError(f"{key} must hold whole numbers, not {df.schema[key].dataType.simpleString()}")
+    return F.col(f"`{key}`").cast("long")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row, even where body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]
@@ -25,7 +41,8 @@ def keep_where(df: DataFrame, condition: str | Column) -> DataFrame:
     it, once for each mention. It doesn't move a filter past a column that isn't deterministic.
     """
     condition = F.expr(condition) if isinstance(condition, str) else condition
-    return df.withColumn("__at", F.monotonically_increasing_id()).filter(condition & (F.col("__at") >= 0)).drop("__at")
+    at = f"{prefix(df)}at"
+    return df.withColumn(at, F.monotonically_increasing_id()).filter(condition & (F.col(at) >= 0)).drop(at)
 
 
 def whole(text: Column) -> Column:

@@ -6,14 +6,17 @@ values of BANDS * ROWS permutations make a signature; equal bands meet in a buck
 on its full shingle sets. At similarity s a pair is missed with probability (1 - s**ROWS)**BANDS: 0.0001 at the
 threshold of 0.8, less above it; ``bands_for`` chooses the bands for a wanted recall.
 
-Scale: only hashes move until buckets with two or more classes are known. Buckets with equal members are verified once.
-A bucket is cut into blocks of BLOCK classes, each pair of blocks is a task-sized cell, and within a cell intersections
-are counted by a matrix product, so no pair becomes a row: a cell returns one row a class, with its number of links and
-one edge of a spanning forest. A pair that meets in several buckets counts in the first they share.
+Scale: only hashes move until buckets with two or more classes are known; then the sets of their classes move, and no
+text ever does: a sieve of bounded size tells which texts to read again. Buckets with equal members are verified once.
+A bucket is cut into blocks of BLOCK classes or fewer, as their shingles allow; each pair of blocks is a task-sized cell,
+and within a cell intersections are counted by a matrix product, so no pair becomes a row: a cell returns one row a class,
+with its number of links and one edge of a spanning forest. A pair that meets in several buckets counts in the first they
+share.
 
 Nulls: a null text counts as empty; texts without words have no shingles and no links. Rows with a null id take no part
-and are not returned. Repeated rows (equal id and text) are copies of one another. Ties don't arise: similarity is
-compared in integers. Empty tables give no rows. Texts of any length are read whole. Extra columns are ignored.
+and come back without links or class. Repeated rows (equal id and text) are copies of one another. Ties don't arise:
+similarity is compared in integers. Empty tables give no rows. Texts of any length are read whole. Extra columns are
+ignored, whatever their names. Ids must be whole numbers; other types raise a TypeError.
 """
 
 from __future__ import annotations
@@ -26,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._native import words
+from folioscope.llm._native import prefix, whole_id, words
 from folioscope.llm.components import components
-from folioscope.llm.storage import kept
+from folioscope.llm.sieve import maybe
+from folioscope.llm.storage import forget, kept
 
 N = 5
 SIMILARITY = (4, 5)  # a fraction, so that comparisons are exact
 ROWS = 3
 RECALL = 0.9999
-BLOCK = 256
+#: Classes of a block, and shingles (of 8 bytes) that blocks hold on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 #: Words that are hashed at once, which bounds a worker's buffers.
 SLAB = 1 << 20
 COLUMNS = 1 << 14
@@ -123,12 +128,22 @@ def _sketch(bands: int, rows: int, n: int):
 
 
 def _gather(n: int):
+    """The whole sets of texts; rows equal in id and set once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             for at, docs in _slabs(batch.column(1)):
-                sets = [shingle_sets(h, n) for h in docs]
-                k1 = pa.array(np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), k1, pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "k1", "shingles"])
+                rows = []
+                for i, h in zip(ids[at:], docs):
+                    s = shingle_sets(h, n)
+                    k1 = int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0
+                    if (i, k1) not in seen:
+                        seen.add((i, k1))
+                        rows.append((i, k1, s.tobytes()))
+                cols = zip(*rows) if rows else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["rep", "k1", "shingles"])
 
     return run
 
@@ -200,7 +215,7 @@ def _cells(similarity: tuple[int, int]):
     """Rows sorted by cell; a cell at a time is in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, cell = [], None
+        held, cell, last = [], None, None
         out: list[tuple] = []
 
         def close() -> None:
@@ -217,8 +232,10 @@ def _cells(similarity: tuple[int, int]):
             for bucket, band, i, j, rep, side, weight, buckets, shingles in zip(*(b.column(k).to_pylist() for k in range(b.num_columns))):
                 if (bucket, band, i, j) != cell:
                     close()
-                    held, cell = [], (bucket, band, i, j)
-                held.append((None, rep, side, weight, buckets, shingles))
+                    held, cell, last = [], (bucket, band, i, j), None
+                if (rep, side) != last:  # repeated rows come from several tasks
+                    held.append((None, rep, side, weight, buckets, shingles))
+                    last = rep, side
             if len(out) > 10_000:
                 yield flush()
         close()
@@ -227,53 +244,65 @@ def _cells(similarity: tuple[int, int]):
     return run
 
 
-def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def jaccard_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, similarity: tuple[int, int] = SIMILARITY, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK, made: list | None = None) -> DataFrame:
     """One row per row of df: id, class_id, n_links (other documents at or above the similarity), n_copies (of them, with an equal set).
 
-    class_id is the least id of all documents that links connect.
+    class_id is the least id of all documents that links connect. Written tables are put on the list ``made``.
     """
+    made = [] if made is None else made
     bands = bands_for(similarity[0] / similarity[1], rows, recall)
-    hashed = lambda d: d.select(F.col(key).cast("long").alias("id"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
-    docs = df.filter(F.col(key).isNotNull())
-    sketch = kept(hashed(docs).mapInArrow(_sketch(bands, rows, n), "id long, n long, k1 long, k2 long, bands array<long>"), "sketches")
+    hashed = lambda d: d.select(whole_id(df, key).alias("id"), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("h"))
+    docs = df.select(key, text).filter(F.col(key).isNotNull())
+    sketch = kept(hashed(df.select(key, text)).mapInArrow(_sketch(bands, rows, n), "id long, n long, k1 long, k2 long, bands array<long>"), "sketches", made)
     same = ["n", "k1", "k2"]
-    classes = kept(sketch.filter("n > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.max("bands").alias("bands")), "classes")
-
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "h"))
-    full = buckets.groupBy("band", "h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s")).filter("size > 1")
-    # Buckets with the same members are one: the first band's stays.
-    full = full.groupBy("size", "x", "s").agg(F.min(F.struct("band", "h")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.h").alias("h"), "size")
-    members = buckets.join(full, ["band", "h"]).select("rep", "band", F.when(F.col("h") == 0, 1).otherwise(F.col("h")).alias("h"), "size")
-    per_class = members.groupBy("rep").agg(F.collect_list(F.struct("band", "h", "size")).alias("in"))
+    classes = kept(sketch.filter("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.max("bands").alias("bands")), "classes", made)
+
+    buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "h"))
+    full = buckets.groupBy("band", "h").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s")).filter("size > 1")
+    # Buckets with the same members are one: the first band's stays. A bucket's blocks hold few classes, and few shingles.
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(block)), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")
+    full = full.groupBy("size", "shingles", "x", "s").agg(F.min(F.struct("band", "h")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.h").alias("h"), blocks)
+    members = buckets.join(full, ["band", "h"]).select("rep", "band", F.when(F.col("h") == 0, 1).otherwise(F.col("h")).alias("h"), "blocks")
+    per_class = members.groupBy("rep").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("in"))
     slots = F.sequence(F.lit(0), F.lit(bands - 1))
     per_class = per_class.select("rep", "in", F.transform(slots, lambda b: F.coalesce(F.get(F.filter("in", lambda x: x["band"] == b), F.lit(0))["h"], F.lit(0).cast("long"))).alias("buckets"))
-    per_class = per_class.join(classes.select("rep", "k1", "weight"), "rep")
+    per_class = kept(per_class.join(classes.select("rep", "k1", "weight"), "rep"), "members", made)
 
-    wanted = docs.join(per_class.select(F.col("rep").alias(key)), key, "left_semi")
-    sets = hashed(wanted).mapInArrow(_gather(n), "rep long, k1 long, shingles binary").dropDuplicates(["rep", "k1"])
-    ready = per_class.join(sets, ["rep", "k1"])
-    placed = ready.withColumn("b", F.explode("in")).withColumn("blocks", F.ceil(F.col("b.size") / F.lit(block)).cast("int"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Only texts that may stand for such a class are read again; they don't move, their sets do.
+    wanted = maybe(docs, whole_id(df, key), per_class, F.col("rep"), "near").filter("near")
+    ready = per_class.join(hashed(wanted).mapInArrow(_gather(n), "rep long, k1 long, shingles binary"), ["rep", "k1"])
+    placed = ready.withColumn("b", F.explode("in"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("b.blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
     cells = placed.select(
         F.col("b.h").alias("bucket"), F.col("b.band").alias("band"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep",
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "weight", "buckets", "shingles",
     )
-    dealt = cells.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j")
-    found = kept(dealt.mapInArrow(_cells(similarity), "rep long, root long, docs long, texts long"), "links")
+    dealt = cells.repartition("bucket", "band", "i", "j").sortWithinPartitions("bucket", "band", "i", "j", "rep", "side")
+    found = kept(dealt.mapInArrow(_cells(similarity), "rep long, root long, docs long, texts long"), "links", made)
     links = found.groupBy("rep").agg(F.sum("docs").alias("docs"))
-    named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), made=made)
     by_class = classes.select(*same, "rep", "weight").join(links, "rep", "left").join(named, F.col("rep") == F.col("vertex"), "left")
     by_class = by_class.select(*same, F.coalesce("component", "rep").alias("class_id"), (F.coalesce("docs", F.lit(0)) + F.col("weight") - 1).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
-    out = sketch.select("id", *same).join(by_class, same, "left")
+    # Classes of one text without links need no join: only the others are looked up.
+    odd = kept(by_class.filter("n_links > 0"), "linked", made)
     zero = F.lit(0).cast("long")
+    out = sketch.select("id", *[F.when(F.col("id").isNotNull(), F.col(c)).alias(c) for c in same]).join(odd, same, "left")
     return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_copies", zero).alias("n_copies"))
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df but for those that a class's least id represents. Of rows equal in id and text one stays. Rows without an id stay."""
-    found = kept(jaccard_join(df, key, text).select(key, "class_id"), "groups")
-    flags = found.groupBy(key).agg(F.max(F.col("class_id") < F.col(key)).alias("__gone"), (F.count("*") > 1).alias("__again"))
-    no = F.lit(False)
-    stay = df.join(flags, key, "left").filter(~F.coalesce("__gone", no))  # the texts move once
-    once = stay.filter(~F.coalesce("__again", no)).select(df.columns)
-    return once.unionByName(stay.filter("__again").select(df.columns).dropDuplicates([key, text]))
+    made: list[DataFrame] = []
+    found = jaccard_join(df, key, text, made=made).select(F.col(key).alias("id"), "class_id").filter("id is not null")
+    flags = found.groupBy("id").agg(F.max(F.col("class_id") < F.col("id")).alias("gone"), (F.count("*") > 1).alias("again")).filter("gone or again")
+    odd = kept(flags, "later")
+    forget(*made)
+    # Only rows whose id may be on that list move.
+    p = prefix(df)
+    flagged = maybe(df, whole_id(df, key), odd, F.col("id"), f"{p}odd")
+    odd = odd.select(F.col("id").alias(f"{p}id"), F.col("gone").alias(f"{p}gone"), F.col("again").alias(f"{p}again"))
+    met = flagged.filter(f"{p}odd").join(odd, whole_id(df, key) == F.col(f"{p}id"), "left").filter(~F.coalesce(F.col(f"{p}gone"), F.lit(False)))
+    again = F.coalesce(F.col(f"{p}again"), F.lit(False))
+    same = [F.col(f"`{c}`") for c in df.columns]
+    out = flagged.filter(~F.col(f"{p}odd")).select(same).unionByName(met.filter(~again).select(same))
+    return out.unionByName(met.filter(again).select(same).dropDuplicates([key, text]))

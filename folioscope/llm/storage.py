@@ -13,10 +13,12 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one temporary folder becomes the checkpoint folder."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one machine gets a temporary folder of its own; a cluster must set it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='folioscope-')}")
         spark.sparkContext.setCheckpointDir(_own[0])
@@ -32,17 +34,20 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written and read again; the files go when the driver ends."""
+def kept(df: DataFrame, name: str, made: list[DataFrame] | None = None) -> DataFrame:
+    """df, written and read again, and put on the list ``made``; the files go by ``forget``, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["path"] = path
+    if made is not None:
+        made.append(out)
     return out
 
 
-def forget(df: DataFrame) -> None:
+def forget(*tables: DataFrame) -> None:
     """Deletes what ``kept`` wrote, once nothing reads it any more."""
-    drop(df.sparkSession, df.__dict__["path"])
+    for df in tables:
+        drop(df.sparkSession, df.__dict__["path"])

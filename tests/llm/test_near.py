@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from folioscope.llm import components, near
 from tests.llm.fixtures import documents
@@ -71,7 +72,9 @@ def test_join_equals_brute_force(spark, sf_dir):
     odd = [(r.doc_id + 20_000, r.text) for r in documents(spark).collect()] + [(None, "a b c d e f g"), (None, None)]
     rows = real + hot + odd
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", near.F.lit("clash")).withColumn("n", near.F.lit("clash"))
-    got = sorted(map(tuple, near.jaccard_join(df, block=8).collect()))
+    back = list(map(tuple, near.jaccard_join(df, block=8).collect()))
+    assert [r for r in back if r[0] is None] == [(None, None, 0, 0)] * 2  # rows without an id come back without links
+    got = sorted(r for r in back if r[0] is not None)
     want = brute(rows)
     assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want]
     lost = [w - g for (_, _, g, _), (_, _, w, _) in zip(got, want)]
@@ -90,6 +93,32 @@ def test_one_of_each_group_stays(spark):
     assert near.one_of_each(df.limit(0)).count() == 0
 
 
+def test_blocks_follow_shingles(spark, monkeypatch):
+    """Buckets of long texts are cut by their shingles, and nothing changes."""
+    rows = list(enumerate(near_copies(40, 7, 400))) + [(100 + i, t) for i, t in enumerate(near_copies(2, 7, 400) * 3)] + [(100, near_copies(1, 7, 400)[0])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, near.jaccard_join(df).collect()))
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", 2000)
+    assert sorted(map(tuple, near.jaccard_join(df).collect())) == want == [tuple(r) for r in brute(rows)]
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="doc_id must hold whole numbers"):
+        near.jaccard_join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_sieve_lets_every_id_pass(spark, monkeypatch):
+    from folioscope.llm import sieve
+
+    monkeypatch.setattr(sieve, "MOST_WORDS", 128)
+    ids = spark.range(0, 3000, 3).withColumn("id", near.F.when(near.F.col("id") > 0, near.F.col("id")))
+    for n in (1000, 20, 0):
+        got = sieve.maybe(spark.range(3000), near.F.nullif(near.F.col("id"), near.F.lit(0)), ids.limit(n), near.F.col("id"), "in").collect()
+        passed = {r.id for r in got if r["in"]}
+        assert len(got) == 3000 and {r.id or 0 for r in ids.limit(n).collect()} <= passed
+        assert n > 100 or len(passed) < 60
+
+
 def test_bands_reach_the_recall():
     assert near.BANDS == near.bands_for(0.8) and 1 - (1 - 0.8**near.ROWS) ** near.BANDS >= 0.9999
     rng = np.random.default_rng(5)
