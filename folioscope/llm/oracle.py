@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.llm.lines import MIN_CHARS, MIN_FUZZY
+from folioscope.llm.lines import MIN_CHARS, MIN_FUZZY, WORD_LINES
 from folioscope.llm.quality import MAX_REPEAT_PERCENT, MIN_WORDS, RULES, STOP_WORDS, WINDOW
 from folioscope.llm.queries import URL_RULES
 
@@ -56,17 +56,24 @@ select query_id, rank::int as rank, vec_id, score from (select *, row_number() o
 
 
 def lines_sql(source: str = "documents") -> str:
-    """Earlier lines by plain comparison: pairs of distinct lines that share a half are compared by edit distance."""
+    """Earlier lines by plain comparison: pairs of distinct lines that share a half are compared, by characters or by words."""
     return rf"""
 with d as (select distinct doc_id, text from {source}),
 l as (select doc_id, text, unnest(generate_series(1, len(ls))) as no, unnest(ls) as raw from (select *, string_split(text, chr(10)) as ls from d where text is not null)),
 m as (select doc_id, text, no, raw, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as norm from l),
-f as (select norm, length(norm) as n, min({{'doc_id': doc_id, 'no': no}}) as at from m where length(norm) >= {MIN_CHARS} group by norm),
-r as (select *, n - d as s, d from f, (values (0), (1)) v(d) where n - d >= {MIN_FUZZY}),
+f as (select norm, length(norm) as n, string_split(norm, ' ') as w, min({{'doc_id': doc_id, 'no': no}}) as at from m where length(norm) >= {MIN_CHARS} group by norm),
+r as (select *, n - d as s, d from f, (values (0), (1)) v(d) where n - d >= {MIN_FUZZY} and len(w) < {WORD_LINES}),
 h as (select *, substr(norm, 1, (s // 2)::int) as a, substr(norm, (s // 2)::int + 1 + d) as b from r),
 p as (select x.norm as one, y.norm as two, x.at as one_at, y.at as two_at from h x join h y on x.s = y.s and x.a = y.a and x.d <= y.d and x.norm <> y.norm
   union select x.norm, y.norm, x.at, y.at from h x join h y on x.s = y.s and x.b = y.b and x.d <= y.d and x.norm <> y.norm),
-g as (select distinct case when one_at < two_at then two else one end as norm from p where levenshtein(one, two) <= 1),
+rw as (select *, len(w) - d as s, d from f, (values (0), (1)) v(d) where len(w) - d >= {WORD_LINES}),
+hw as (select *, w[1:(s // 2)] as a, w[(s // 2 + 1 + d):] as b from rw),
+pw as (select x.norm as one, y.norm as two, x.w as v, y.w as w, x.at as one_at, y.at as two_at from hw x join hw y on x.s = y.s and x.a = y.a and x.d <= y.d and x.norm <> y.norm
+  union select x.norm, y.norm, x.w, y.w, x.at, y.at from hw x join hw y on x.s = y.s and x.b = y.b and x.d <= y.d and x.norm <> y.norm),
+e as (select *, len(list_filter(range(1, least(len(v), len(w)) + 1), lambda i: v[1:i] = w[1:i])) + len(list_filter(range(1, least(len(v), len(w)) + 1), lambda i: v[(len(v) - i + 1):] = w[(len(w) - i + 1):])) as alike from pw),
+g as (select distinct case when one_at < two_at then two else one end as norm from (
+  select one, two, one_at, two_at from p where levenshtein(one, two) <= 1
+  union all select one, two, one_at, two_at from e where alike >= greatest(len(v), len(w)) - 1)),
 k as (select m.*, (length(m.norm) < {MIN_CHARS} or (m.doc_id = f.at.doc_id and m.no = f.at.no and g.norm is null)) as keep
   from m left join f on m.norm = f.norm left join g on m.norm = g.norm),
 t as (select doc_id, text, coalesce(string_agg(raw, chr(10) order by no) filter (keep), '') as new, count(*)::bigint as n_lines, count(*) filter (not keep)::bigint as n_removed from k group by doc_id, text)
