@@ -91,30 +91,18 @@ def _n_words(norm: Column) -> Column:
     return F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
-def _halves(norm: Column, min_fuzzy: int, word_lines: int) -> Column:
-    """Hashes of both halves, as the shorter or equal line of a pair (d = 0) and as the longer (d = 1)."""
-
-    def by_characters() -> list[Column]:
-        out = []
-        for d in (0, 1):
-            s = F.length(norm) - d
-            half = F.floor(s / 2).cast("int")
-            ok = s >= min_fuzzy
-            out += [F.when(ok, F.xxhash64(F.lit(0), s, Characters.part(norm, F.lit(0), half))), F.when(ok, F.xxhash64(F.lit(1), s, Characters.part(norm, half + d, s + d)))]
-        return out
-
-    def by_words(n: Column) -> list[Column]:
-        out = []
-        index = lambda k: F.call_function("substring_index", norm, F.lit(" "), k)
-        for d in (0, 1):
-            s = n - d
-            half = F.floor(s / 2).cast("int")
-            ok = s >= word_lines
-            out += [F.when(ok, F.xxhash64(F.lit(2), s, index(half))), F.when(ok, F.xxhash64(F.lit(3), s, index(half - s)))]
-        return out
-
-    pick = let(_n_words(norm), lambda n: F.when(n >= word_lines, F.array(*by_words(n))).otherwise(F.array(*by_characters())))
-    return F.filter(pick, lambda k: k.isNotNull())
+def _halves(norm: Column, chars: Column, n_words: Column, min_fuzzy: int, word_lines: int) -> Column:
+    """Hashes of both halves, as the shorter or equal line of a pair (d = 0) and as the longer (d = 1); nulls where the line is too short."""
+    by_characters, by_words = [], []
+    index = lambda k: F.call_function("substring_index", norm, F.lit(" "), k)
+    for d in (0, 1):
+        s = chars - d
+        half = F.floor(s / 2).cast("int")
+        by_characters += [F.when(s >= min_fuzzy, F.xxhash64(F.lit(0), s, Characters.part(norm, F.lit(0), half))), F.when(s >= min_fuzzy, F.xxhash64(F.lit(1), s, Characters.part(norm, half + d, s + d)))]
+        s = n_words - d
+        half = F.floor(s / 2).cast("int")
+        by_words += [F.when(s >= word_lines, F.xxhash64(F.lit(2), s, index(half))), F.when(s >= word_lines, F.xxhash64(F.lit(3), s, index(half - s)))]
+    return F.when(n_words >= word_lines, F.array(*by_words)).otherwise(F.array(*by_characters))
 
 
 def _outside(units, norm: Column, d: int) -> Column:
@@ -176,16 +164,18 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
 
     # A document's lines, and one more that stands for itself, with their number.
     source = docs.filter(column[text].isNotNull()).select(id_.alias("id"), row.alias("row"), split.alias("all"))
-    source = source.select("id", "row", F.size(F.filter("all", counts)).alias("n"), F.posexplode(F.concat("all", F.array(F.lit(None).cast("string")))).alias("no", "raw"))
+    source = source.select("id", "row", F.size(F.filter("all", counts)).alias("n"), F.concat("all", F.array(F.lit(None).cast("string"))).alias("all"))
+    source = source.select("id", "row", "n", F.posexplode("all").alias("no", "raw"))
     source = source.select("id", "row", "n", "no", norm(F.col("raw")).alias("norm")).filter(F.col("norm").isNull() | (F.length("norm") >= min_chars))
+    source = source.select("*", F.length("norm").alias("chars"), _n_words(F.col("norm")).alias("words"))  # in columns of their own, so that each is computed once
     own = F.col("norm").isNull()
     lines = source.select(
         F.when(own, F.xxhash64("id", "row")).otherwise(F.xxhash64("norm")).alias("line"), F.when(own, F.lit(-1)).otherwise(F.hash("norm")).alias("more"), own.alias("own"),
-        F.struct("id", "row", "no").alias("at"), F.when(~own, _halves(F.col("norm"), min_fuzzy, word_lines)).alias("ks"), F.when(own, F.col("n")).alias("n"),
+        F.struct("id", "row", "no").alias("at"), F.when(~own, _halves(F.col("norm"), F.col("chars"), F.col("words"), min_fuzzy, word_lines)).alias("ks"), F.when(own, F.col("n")).alias("n"),
     )
     firsts = kept(lines.groupBy("line", "more", "own").agg(F.min("at").alias("at"), F.max("ks").alias("ks"), F.max("n").alias("n"), F.sum(F.when(F.col("own"), 1)).alias("times")), "firsts", made)
 
-    keyed = firsts.filter("not own").select("line", F.explode("ks").alias("k"))
+    keyed = firsts.filter("not own").select("line", F.explode("ks").alias("k")).filter("k is not null")
     near = keyed.join(_shared(keyed, "k"), "k").select("line").distinct()
     wanted = firsts.filter("not own").join(near, "line").groupBy("at.id", "at.row").agg(F.collect_list(F.struct("line", "more", "at.no")).alias("want"))
     wanted = kept(wanted, "wanted", made)
