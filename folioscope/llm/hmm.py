@@ -1,48 +1,55 @@
 """A hidden Markov language model: Baum-Welch counts over partitions, exact likelihoods by the scaled forward recursion.
 
 Tokens are words with A-Z in lower case, and one end a text. Counts of all training tokens give the base score. Every
-token of the training texts is a symbol with emissions of its own, however many there are; one more symbol stands for all
-unseen ones; so the model gives every text a probability. Every training text takes part in every round: cut into
-stretches of SEGMENT tokens, each block of texts adds up its expected transitions and emissions, and sums are shuffled by
-symbol. Scores come from one forward pass over each whole text, with one scaling factor a token, whose logarithms add up
-to the likelihood.
-
-Scale: emissions of the SYMBOLS most frequent tokens (the head) go to the driver and the workers. Those of all others (the
-tail) are a table in the shared folder, by the token's 64-bit hash. It joins the distinct tail tokens of each block of
-about BLOCK tokens; none of them can be frequent, so that join has no hot key. SYMBOLS and BLOCK bound what a worker holds
-and change no result beyond rounding. Encoded texts are written once to the shared folder, so rounds do not read texts again.
+token of the training texts ends up with emissions of its own, however many there are; one more symbol stands for all
+unseen ones; so the model gives every text a probability. Scores come from one forward pass over each whole text, with one
+scaling factor a token, whose logarithms add up to the likelihood.
+
+Training takes every training text in every round, cut into stretches of SEGMENT tokens; starts are counted where a text
+starts, other stretches begin with the chain's long-run distribution. While the states are found, the tokens outside the
+head (the SYMBOLS most frequent ones or fewer, as all tokens of one frequency are in it or none) share one profile over
+states, each with its own share of it; rounds go on until the likelihood rises by less than TOLERANCE of itself, at most
+ROUNDS. A last round unties them: one more pass adds up the expected emissions of each of them by itself, wherever it occurs.
+
+Scale: the head's emissions go to the driver and the workers. Those of all other tokens (the tail) are a table in the shared
+folder, by the token's 64-bit hash. It joins the distinct tail tokens of each block of about BLOCK tokens, once, to score;
+none of them can be frequent, so that join has no hot key. Which counts the head has is read from a histogram of counts, so
+nothing is sorted or met in one task. Encoded texts are written once to the shared folder, so rounds do not read texts again.
+What a step wrote is deleted after its last use.
 
 Nulls: a null text counts as empty, and is one end token. A null id is no held-out one (its checksum is null) and trains.
 Rows equal in id and text are scored alike, and each counts in training. Empty tables give no rows; without any training
-text all counts are 0. Ties in frequency go to the smaller token by bytes. Very long texts are read whole; their time is
-linear. Extra columns are ignored.
+text all counts are 0. Ties in frequency are in the head together or not at all. Very long texts are read whole; their time
+is linear. Ids may be of any type. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import gc
-import zlib
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.storage import forget, kept
 
 FOLDS, HELD_OUT = 5, 1
-HEAD = 1 << 18
 SYMBOLS = 1 << 15
 STATES = 6
-ROUNDS = 4
+#: Rounds with a shared tail, and the rise of the likelihood, as a share of it, that ends them.
+ROUNDS, TOLERANCE = 8, 0.002
 SEGMENT = 64
 STAY = 0.95
 COMMON = 0.05
 #: Segments worked on at once, and distinct tokens counted before they are handed on.
 SLAB, COUNTED = 4096, 400_000
 BLOCK = 1 << 20
+#: Symbols are 16-bit numbers in encoded texts; the last ones are kept free.
+MOST_SYMBOLS = 65_000
 END = b"\n"  # no word holds a line feed
 
 
@@ -50,8 +57,8 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def held_out(doc_id) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
+def is_held_out(key: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,29 +70,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if not held_out(doc):
-                seen.update(tokens(text))
-                seen[END] += 1
-                if len(seen) > COUNTED:
-                    yield out()
+        for text in b.column(0).to_pylist():
+            seen.update(tokens(text))
+            seen[END] += 1
+            if len(seen) > COUNTED:
+                yield out()
     yield out()
 
 
+def _level(c: Column) -> Column:
+    """Counts up to 64 by themselves, larger ones in steps of a sixteenth of an octave."""
+    return F.when(c <= 64, c).otherwise(F.floor(F.log2(c.cast("double")) * 16) - 32).cast("long")
+
+
+def head_level(words: DataFrame, symbols: int) -> int:
+    """The least level such that at most ``symbols`` words have it or a higher one."""
+    sizes = sorted(((r.level, r.n) for r in words.groupBy(_level(F.col("c")).alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = (sizes[0][0] + 1 if sizes else 1), 0
+    for level, n in sizes:
+        total += n
+        if total > symbols:
+            break
+        least = level
+    return least
+
+
 _HEADS: dict = {}
 
 
 def _lookup(head) -> dict[bytes, tuple[int, float]]:
     """token -> (symbol, log10(c + 0.5)) of the head, built once a worker."""
-    if head.id not in _HEADS if hasattr(head, "id") else True:
-        names, counts = head.value
+    name, names, counts = head.value
+    if name not in _HEADS:
         logs = np.log10(np.asarray(counts, float) + 0.5).tolist()
         _HEADS.clear()
-        _HEADS[getattr(head, "id", 0)] = {t: (s, x) for s, (t, x) in enumerate(zip(names, logs))}
-    return _HEADS[getattr(head, "id", 0)]
+        _HEADS[name] = {t: (s, x) for s, (t, x) in enumerate(zip(names, logs))}
+    return _HEADS[name]
 
 
-ENCODED = "doc_id long, held_out boolean, n_tokens long, head_tokens long, head_base double, ids binary, tail array<binary>"
+ENCODED = "doc_id {kind}, held_out boolean, n_tokens long, head_tokens long, head_base double, ids binary, tail array<binary>"
 
 
 def _encode(head, rest: int, end: tuple):
@@ -95,28 +118,37 @@ def _encode(head, rest: int, end: tuple):
         known = _lookup(head)
         for b in batches:
             rows = []
-            for doc, text in zip(*(b.column(k).to_pylist() for k in range(2))):
+            for text in b.column(2).to_pylist():
                 got = list(map(known.get, words := tokens(text)))
                 tail = [w for w, g in zip(words, got) if g is None] if None in got else []
                 found = [g for g in got if g is not None] if tail else got
                 ids = np.array([rest if g is None else g[0] for g in got] + [end[0]], np.uint16)
-                rows.append((doc, held_out(doc), len(ids), len(found) + end[1], sum(g[1] for g in found) + end[2], ids.tobytes(), tail))
-            cols = list(zip(*rows)) or [()] * 7
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "ids", "tail"])
+                rows.append((len(ids), len(found) + end[1], sum(g[1] for g in found) + end[2], ids.tobytes(), tail))
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "ids", "tail"])
 
     return run
 
 
-def expected(ids: np.ndarray, lengths: np.ndarray, start, move, emit, symbols: int):
-    """Expected starts, transitions, emissions and log-likelihood of segments: rows of ids, padded with ``symbols``."""
+def long_run(move: np.ndarray) -> np.ndarray:
+    """The distribution over states that a chain of these moves tends to."""
+    return np.linalg.matrix_power(move, 1 << 12).mean(0)
+
+
+def expected(ids: np.ndarray, lengths: np.ndarray, start, move, emit, symbols: int, opens: np.ndarray | None = None, watch: int | None = None):
+    """Expected starts, transitions, emissions and log-likelihood of segments: rows of ids, padded with ``symbols``.
+
+    opens: which segments open a text (all, if not given). watch: a symbol whose occurrences' states are returned as well, in order.
+    """
+    opens = np.ones(len(ids), bool) if opens is None else opens
     n, width = ids.shape
     k = len(start)
     table = np.vstack([emit, np.ones(k)])
     likely = table[ids]  # n, width, k
     alpha = np.empty((width, n, k))
     scale = np.empty((width, n))
-    a = start * likely[:, 0]
+    a = np.where(opens[:, None], start, long_run(move)) * likely[:, 0]
     for t in range(width):
         if t:
             a = (alpha[t - 1] @ move) * likely[:, t]
@@ -133,33 +165,53 @@ def expected(ids: np.ndarray, lengths: np.ndarray, start, move, emit, symbols: i
         gamma[:, t] = alpha[t] * beta
     flat = ids.ravel()
     emits = np.stack([np.bincount(flat, gamma[..., j].ravel(), symbols + 1)[:symbols] for j in range(k)], 1)
-    return gamma[:, 0].sum(0), moves * move, emits, np.log10(scale).sum()
+    out = gamma[opens, 0].sum(0), moves * move, emits, np.log10(scale).sum()
+    return out if watch is None else (*out, gamma[ids == watch])
 
 
-def segments(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
-    parts = [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
+def segments(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of texts, one a row, their lengths, and which of them open a text."""
+    parts = [(i == 0, t[i : i + SEGMENT]) for t in texts for i in range(0, len(t), SEGMENT)]
     out = np.full((len(parts), SEGMENT), pad, np.int64)
-    for i, p in enumerate(parts):
+    for i, (_, p) in enumerate(parts):
         out[i, : len(p)] = p
-    return out, np.array([len(p) for p in parts])
+    return out, np.array([len(p) for _, p in parts], int), np.array([first for first, _ in parts], bool)
+
 
+def _decoded(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).astype(np.int64) for x in column.to_pylist()]
 
-def _estep(model):
-    """One row a symbol: its expected emissions by state. Symbols -1.. hold transitions, -1000 the starts, -1001 the likelihood."""
+
+def _estep(model, rest: int | None = None):
+    """One row a symbol: its expected emissions by state. Symbols -1.. hold transitions, -1000 the starts, -1001 the likelihood.
+
+    With ``rest``, also one row of kind 1 for each hash of a tail token, in the batches that hold it, with how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = model.value
         k, symbols = len(start), len(emit)
         starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k)), 0.0
+
+        def out(kind: int, symbol, c, rows) -> pa.RecordBatch:
+            n = len(symbol)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(symbol, pa.int64()), pa.array(c, pa.int64()), *(pa.array(rows[:, j].astype(np.float32 if kind else float).astype(float)) for j in range(k))], ["kind", "symbol", "c", *(f"s{j}" for j in range(k))])
+
         for b in batches:
-            ids, lengths = segments([np.frombuffer(x, np.uint16).astype(np.int64) for x in b.column(0).to_pylist()], symbols)
+            ids, lengths, opens = segments(_decoded(b.column(0)), symbols)
+            seen = []
             for i in range(0, len(ids), SLAB):
-                s, m, e, x = expected(ids[i : i + SLAB], lengths[i : i + SLAB], start, move, emit, symbols)
+                at = slice(i, i + SLAB)
+                s, m, e, x, *own = expected(ids[at], lengths[at], start, move, emit, symbols, opens[at], rest)
                 starts, moves, emits, total = starts + s, moves + m, emits + e, total + x
+                seen += own
+            if seen and len(own := np.concatenate(seen)):
+                h, place = np.unique(b.column(1).flatten().to_numpy(), return_inverse=True)
+                yield out(1, h, np.bincount(place), np.stack([np.bincount(place, own[:, j]) for j in range(k)], 1))
+        if rest is not None:
+            emits[rest] = 0  # its tokens are counted by themselves
         some = np.flatnonzero(emits.sum(1))
         names = np.concatenate([some, -1 - np.arange(k), [-1000, -1001]])
-        rows = np.vstack([emits[some], moves, starts, np.full(k, total)])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(rows[:, j]) for j in range(k))], ["symbol", *(f"s{j}" for j in range(k))])
+        yield out(0, names, np.zeros(len(names), int), np.vstack([emits[some], moves, starts, np.full(k, total)]))
 
     return run
 
@@ -173,9 +225,9 @@ def noise(hashes: np.ndarray, states: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u[:, :states])) * np.cos(2 * np.pi * u[:, states:])
 
 
-def first_model(unigram: np.ndarray, states: int, seed: int = 11):
-    rng = np.random.default_rng(seed)
-    emit = unigram[:, None] * np.exp(rng.normal(size=(len(unigram), states)))
+def first_model(unigram: np.ndarray, states: int, hashes: np.ndarray | None = None):
+    hashes = np.arange(len(unigram)) if hashes is None else hashes
+    emit = unigram[:, None] * np.exp(noise(hashes, states))
     return *_first_moves(states), emit / emit.sum(0)
 
 
@@ -185,41 +237,84 @@ def _first_moves(states: int):
     return np.full(states, 1 / states), move
 
 
-def _updated(symbol: np.ndarray, values: np.ndarray, unigram: np.ndarray, tail_mass, others: int):
-    """(start, move, emit), the mass and the norm of each state, and the likelihood, from a round's sums; ``others`` symbols are in the tail."""
+def _updated(symbol: np.ndarray, values: np.ndarray, unigram: np.ndarray, tail_mass, others: int, weight: np.ndarray | None = None):
+    """(start, move, emit), the mass and the norm of each state, and the likelihood, from a round's sums.
+
+    ``others`` symbols are in the tail; weight: how many tokens each symbol stands for (one, if not given)."""
     states = values.shape[1]
+    weight = np.ones(len(unigram)) if weight is None else weight
     at = {int(s): v for s, v in zip(symbol[symbol < 0], values[symbol < 0])}
     emits = np.zeros((len(unigram), states))
     emits[symbol[symbol >= 0]] = values[symbol >= 0]
     mass = emits.sum(0) + tail_mass
-    # Half a count a symbol, dealt over states, as in the base score; and a share of all states' common frequencies.
-    emits += 0.5 * mass / mass.sum() + COMMON * mass * unigram[:, None]
+    # Half a count a token, dealt over states, as in the base score; and a share of all states' common frequencies.
+    emits += 0.5 * weight[:, None] * mass / mass.sum() + COMMON * mass * unigram[:, None]
     norm = emits.sum(0) + tail_mass + 0.5 * others * mass / mass.sum() + COMMON * mass * (1 - unigram.sum())
     moves = np.vstack([at[-1 - j] for j in range(states)]) + 0.1
     starts = at[-1000] + 0.1
     return (starts / starts.sum(), moves / moves.sum(1, keepdims=True), emits / norm), mass, norm, float(at[-1001][0])
 
 
-def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS):
-    """(start, move, emit) after some rounds over all training texts, and each round's log10-likelihood; no token is outside the head."""
+def _names(states: int) -> list[str]:
+    return [f"s{j}" for j in range(states)]
+
+
+def _schema(states: int) -> str:
+    return "kind int, symbol long, c long, " + ", ".join(f"{n} double" for n in _names(states))
+
+
+def _summed(sums: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray]:
+    return sums.column("symbol").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in _names(states)])
+
+
+def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds: int = ROUNDS, hashes: np.ndarray | None = None, weight: np.ndarray | None = None, tolerance: float = 0.0):
+    """(start, move, emit) after some rounds over all training texts, and each round's log10-likelihood."""
     spark = encoded.sparkSession
-    model = first_model(unigram, states)
+    model = first_model(unigram, states, hashes)
     ids = encoded.filter("not held_out").select("ids")
-    names = [f"s{j}" for j in range(states)]
-    schema = "symbol long, " + ", ".join(f"{n} double" for n in names)
-    history = []
+    history: list[float] = []
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        sums = ids.mapInArrow(_estep(sent), schema).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+        sums = ids.mapInArrow(_estep(sent), _schema(states)).groupBy("symbol").agg(*[F.sum(n).alias(n) for n in _names(states)]).toArrow()
         sent.unpersist()
-        symbol, values = sums.column("symbol").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names])
+        symbol, values = _summed(sums, states)
         if not values[symbol >= 0].size:
             break
-        model, _, _, likelihood = _updated(symbol, values, unigram, 0.0, 0)
+        model, _, _, likelihood = _updated(symbol, values, unigram, 0.0, 0, weight)
         history.append(likelihood)
+        if len(history) > 1 and likelihood - history[-2] < tolerance * -history[-2]:
+            break
     return model, history
 
 
+def untie(encoded: DataFrame, model, unigram: np.ndarray, others: int, all_: float, rest: int):
+    """The head's model after one more round, and the table (h, c, v) of the emissions of each tail token by itself."""
+    spark = encoded.sparkSession
+    states = len(model[0])
+    names = _names(states)
+    sent = spark.sparkContext.broadcast(model)
+    each = encoded.filter("not held_out").select("ids", "hs").mapInArrow(_estep(sent, rest), _schema(states))
+    done = kept(each.groupBy("kind", "symbol").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in names]).select("kind", "symbol", "c", *[F.col(n).cast("double") for n in names]), "round")
+    sent.unpersist()
+    _sweep(spark)
+    tail = done.filter("kind = 1")
+    symbol, values = _summed(done.filter("kind = 0").select("symbol", *names).toArrow(), states)
+    share, mass, norm = 0.0, np.zeros(states), np.ones(states)
+    if values[symbol >= 0].size:
+        tail_mass = np.array([x or 0.0 for x in tail.agg(*[F.sum(n) for n in names]).first()], float)
+        model, mass, norm, _ = _updated(symbol, values, unigram, tail_mass, others)
+        share = float(0.5 / mass.sum())
+    own = F.lit(share) + COMMON * (F.col("c") + 0.5) / F.lit(all_)
+    emissions = tail.select(F.col("symbol").alias("h"), "c", F.array(*[((F.col(n) + own * float(mass[j])) / float(norm[j])).cast("float") for j, n in enumerate(names)]).alias("v"))
+    return model, emissions
+
+
+def _sweep(spark) -> None:
+    """Lets Spark's cleaner delete the shuffles of what is written and no longer used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _own_symbols(texts: pa.Table, found: pa.Table, emit: np.ndarray, rest: int):
     """Of a block: its texts in symbols of its own, the emissions of these, and the hashes and counts of its tail's symbols."""
     h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
@@ -343,7 +438,7 @@ def forward(texts: list[np.ndarray], start, move, emit) -> np.ndarray:
     return out
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, states double"
+SCORED = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, states double"
 
 
 def _score(sent, rest: int):
@@ -364,31 +459,36 @@ def _score(sent, rest: int):
     return run
 
 
-def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, head: int = HEAD, symbols: int = SYMBOLS) -> DataFrame:
+def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS, symbols: int = SYMBOLS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (both log10) of every row."""
-    spark = df.sparkSession
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = kept(docs.mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ends = docs.filter(F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT, F.lit(True))).count()
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    docs = df.select(F.col(key).alias("doc_id"), is_held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
+    counts = kept(docs.filter("not held_out").select("text").mapInArrow(_count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")), "counts")
+    _sweep(spark)
+    total, kinds, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0))).first()
     words = counts.filter(F.col("token") != END).select(F.xxhash64("token").alias("symbol"), "token", "c")
-    top = words.orderBy(F.desc("c"), "token").limit(min(head, symbols, 65_000)).toArrow()
+    top = words.filter(_level(F.col("c")) >= head_level(words, min(symbols, MOST_SYMBOLS))).toArrow().sort_by([("c", "descending"), ("token", "ascending")])
     names, c = top.column("token").to_pylist(), top.column("c").to_pylist()
+    forget(counts)
     rest, end = len(names), len(names) + 1
-    tail = words.filter((F.col("c") < c[-1]) | ((F.col("c") == c[-1]) & (F.col("token") > F.lit(bytearray(names[-1]))))) if names else words
     # All tokens, the end, and one that stands for the unseen.
     others = kinds - len(names) - (ends > 0)
     all_ = total + 0.5 * (len(names) + 2 + others)
     unigram = (np.array([*c, 0, ends], float) + 0.5) / all_
+    shared = unigram.copy()
+    shared[rest] += (total - ends - sum(c) + 0.5 * others) / all_
+    weight = np.ones(len(unigram))
+    weight[rest] += others
     hashes = np.array([*top.column("symbol").to_pylist(), 1, 2], np.int64)
-    sent = spark.sparkContext.broadcast((names, c))
-    encoded = docs.mapInArrow(_encode(sent, rest, (end, int(ends > 0), float(np.log10(ends + 0.5)))), ENCODED)
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, names, c))
+    encoded = docs.mapInArrow(_encode(sent, rest, (end, int(ends > 0), float(np.log10(ends + 0.5)))), ENCODED.format(kind=kind))
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + total // BLOCK)).alias("p")
     encoded = kept(encoded.select(block, *[x.split()[0] for x in ENCODED.split(", ")[:-1]], F.transform("tail", lambda t: F.xxhash64(t)).alias("hs")), "encoded")
-    pairs = kept(encoded.select("p", F.explode(F.array_distinct("hs")).alias("h")).distinct(), "pairs")
-    model, emissions, _ = train_all(encoded, pairs, tail.select("symbol", "c"), unigram, hashes, others, all_, rest, states, rounds)
+    model, _ = train(encoded, shared, states, rounds, hashes, weight, tolerance)
+    model, emissions = untie(encoded, model, unigram, others, all_, rest)
+    pairs = encoded.select(F.col("p").alias("q"), F.explode(F.array_distinct("hs")).alias("h")).distinct()
     final = spark.sparkContext.broadcast(model)
-    scored = encoded.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("p")).applyInArrow(_score(final, rest), SCORED)
+    scored = encoded.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("q")).applyInArrow(_score(final, rest), SCORED.format(kind=kind))
     per_token = float(np.log10(total + 0.5 * (kinds + 1)))
     return scored.select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
