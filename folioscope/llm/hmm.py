@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,25 +109,43 @@ def _lookup(head) -> dict[bytes, tuple[int, float]]:
     return _HEADS[name]
 
 
-ENCODED = "doc_id {kind}, held_out boolean, n_tokens long, head_tokens long, head_base double, ids binary, tail array<binary>"
+ENCODED = "doc_id {kind}, held_out boolean, p long, block boolean, n_tokens long, head_tokens long, head_base double, ids binary, tail array<binary>"
 
 
-def _encode(head, rest: int, end: tuple):
-    """Symbols of each text, the head's share of its sums, and the tokens outside the head, each of which has the symbol ``rest``."""
+def _encode(head, rest: int, end: tuple, block: int):
+    """Symbols of each text, the head's share of its sums, and the tokens outside the head, each of which has the symbol ``rest``.
+
+    Texts that follow one another make blocks p of about ``block`` tokens; a row of its own holds a block's distinct tokens outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _lookup(head)
+        p, size, seen, kind = TaskContext.get().partitionId() << 32, 0, set(), None
+
+        def made(doc, held, rows) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * 7
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([doc, held, *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "held_out", "p", "block", "n_tokens", "head_tokens", "head_base", "ids", "tail"])
+
+        def closed() -> pa.RecordBatch:
+            return made(pa.nulls(1, kind), pa.nulls(1, pa.bool_()), [(p, True, 0, 0, 0.0, b"", list(seen))])
+
         for b in batches:
-            rows = []
+            rows, kind, ended = [], b.column(0).type, []
             for text in b.column(2).to_pylist():
                 got = list(map(known.get, words := tokens(text)))
                 tail = [w for w, g in zip(words, got) if g is None] if None in got else []
                 found = [g for g in got if g is not None] if tail else got
                 ids = np.array([rest if g is None else g[0] for g in got] + [end[0]], np.uint16)
-                rows.append((len(ids), len(found) + end[1], sum(g[1] for g in found) + end[2], ids.tobytes(), tail))
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "held_out", "n_tokens", "head_tokens", "head_base", "ids", "tail"])
+                rows.append((p, False, len(ids), len(found) + end[1], sum(g[1] for g in found) + end[2], ids.tobytes(), tail))
+                seen.update(tail)
+                size += len(ids)
+                if size >= block:
+                    ended.append(closed())
+                    p, size, seen = p + 1, 0, set()
+            yield made(b.column(0), b.column(1), rows)
+            yield from ended
+        if size:
+            yield closed()
 
     return run
 
@@ -282,6 +301,7 @@ def train(encoded: DataFrame, unigram: np.ndarray, states: int = STATES, rounds:
             break
         model, _, _, likelihood = _updated(symbol, values, unigram, 0.0, 0, weight)
         history.append(likelihood)
+        _sweep(spark)
         if len(history) > 1 and likelihood - history[-2] < tolerance * -history[-2]:
             break
     return model, history
@@ -481,14 +501,14 @@ def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", state
     weight[rest] += others
     hashes = np.array([*top.column("symbol").to_pylist(), 1, 2], np.int64)
     sent = spark.sparkContext.broadcast((uuid.uuid4().hex, names, c))
-    encoded = docs.mapInArrow(_encode(sent, rest, (end, int(ends > 0), float(np.log10(ends + 0.5)))), ENCODED.format(kind=kind))
-    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 + total // BLOCK)).alias("p")
-    encoded = kept(encoded.select(block, *[x.split()[0] for x in ENCODED.split(", ")[:-1]], F.transform("tail", lambda t: F.xxhash64(t)).alias("hs")), "encoded")
-    model, _ = train(encoded, shared, states, rounds, hashes, weight, tolerance)
-    model, emissions = untie(encoded, model, unigram, others, all_, rest)
-    pairs = encoded.select(F.col("p").alias("q"), F.explode(F.array_distinct("hs")).alias("h")).distinct()
+    encoded = docs.mapInArrow(_encode(sent, rest, (end, int(ends > 0), float(np.log10(ends + 0.5))), BLOCK), ENCODED.format(kind=kind))
+    encoded = kept(encoded.select(*[x.split()[0] for x in ENCODED.split(", ")[:-1]], F.transform("tail", lambda t: F.xxhash64(t)).alias("hs")), "encoded")
+    texts, blocks = encoded.filter("not block"), encoded.filter("block")
+    model, _ = train(texts, shared, states, rounds, hashes, weight, tolerance)
+    model, emissions = untie(texts, model, unigram, others, all_, rest)
+    pairs = blocks.select(F.col("p").alias("q"), F.explode("hs").alias("h"))
     final = spark.sparkContext.broadcast(model)
-    scored = encoded.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("q")).applyInArrow(_score(final, rest), SCORED.format(kind=kind))
+    scored = texts.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("q")).applyInArrow(_score(final, rest), SCORED.format(kind=kind))
     per_token = float(np.log10(total + 0.5 * (kinds + 1)))
     return scored.select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
