@@ -7,12 +7,13 @@ gap smallest, and it opens a new bin only where none fits, as fewer sequences ar
 over the gaps finds the place; ties go to the smallest gap left.
 
 Scale: no ids leave the task that made them, only lengths and checksums. Pieces are dealt by a hash of their document
-over groups of about ``group_docs`` documents, whose number follows a count of the input; each group is packed by itself
-in memory that its size bounds. Every group ends with at most a few open bins, so groups cost far below a tenth of a per
-cent. Long documents don't make groups large: their full pieces bypass packing.
+and of themselves over groups of about ``group_docs`` documents' pieces, whose number follows a count of the input, so
+neither null or repeated ids nor long documents make one group large; each group is packed by itself in memory that its
+size bounds. Full pieces take a sequence each, before the others are placed.
 
 Nulls: a null text packs as the end id alone, as an empty one does; a null id stays null. Repeated rows are packed as
-documents of their own. Empty tables give no rows. Extra columns aren't carried; texts of any length are encoded whole.
+documents of their own. Empty tables give no rows. Texts that hold an added token of the vocabulary (as ``<|endoftext|>``) are
+encoded by the library itself, which makes one id of it. Extra columns aren't carried; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def _memo(path: str, pattern: str):
     from folioscope.llm.bpe import PartMemo, with_spaces
 
     pieces = regex.compile(with_spaces(pattern))
-    model, letters = Tokenizer.from_file(path).model, byte_letters()
+    whole, letters = Tokenizer.from_file(path), byte_letters()
+    model = whole.model
 
     def make(part: str) -> bytes:
         found = pieces.findall(part)
@@ -56,7 +58,8 @@ def _memo(path: str, pattern: str):
         return array("I", [t.id for t in model.tokenize(written)]).tobytes()
 
     memo = PartMemo(make)
-    return memo
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    return memo, added, whole
 
 
 def byte_letters() -> dict[int, str]:
@@ -77,11 +80,17 @@ def pieces(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     tail = array("I", [end]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path, pattern)
+        memo, added, library = _memo(path, pattern)
+
+        def encode(t: str) -> bytes:
+            if any(a in t for a in added):
+                return array("I", library.encode(t, add_special_tokens=False).ids).tobytes()
+            return memo.encode(t)
+
         for b in batches:
             rows = []
             for at, t in enumerate(b.column(1).to_pylist()):
-                ids = (memo.encode(t) if t else b"") + tail
+                ids = (encode(t) if t else b"") + tail
                 rows += [(at, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             at, *made = zip(*rows) if rows else [()] * 5
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -132,7 +141,7 @@ def pack(found: DataFrame, docs: int, key: str = "doc_id", capacity: int = CAPAC
         made = pa.array(number, pa.int64()), pa.array(np.concatenate([np.zeros(n_full, np.int64), offset]), pa.int64())
         return group.drop_columns(["__group"]).append_column("sequence_id", made[0]).append_column("offset", made[1])
 
-    dealt = found.withColumn("__group", F.pmod(F.xxhash64(F.col(key)), F.lit(groups)))
+    dealt = found.withColumn("__group", F.pmod(F.xxhash64(F.col(key), "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(run, StructType(schema.fields).add("sequence_id", LongType()).add("offset", LongType()))
 
 

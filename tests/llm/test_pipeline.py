@@ -25,7 +25,6 @@ def test_pipeline_equals_brute_force(spark, sf_dir, tmp_path):
     stay = {c for _, c, _, _ in test_near.brute(rows)}
     want = []
     hf = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    hf.encode_special_tokens = True
     for i, t in sorted(rows):
         if i in stay:
             for s, o, e, k in reversed([x for x in test_native.brute_secrets(t) if not any(y != x and y[0] <= x[0] and x[2] <= y[2] for y in test_native.brute_secrets(t))]):

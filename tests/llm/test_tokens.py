@@ -29,7 +29,6 @@ def hf():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return t
 
 
@@ -131,3 +130,19 @@ def test_packing_query(spark, sf_dir, hf):
     assert packing.best_fit(df.limit(0), JSON, P.PATTERN).count() == 0
     nulls = spark.createDataFrame([(None, None), (2**60 + 1, "a b")], "doc_id long, text string")
     assert {r.doc_id for r in packing.best_fit(nulls, JSON, P.PATTERN).collect()} == {None, 2**60 + 1}
+
+
+def test_added_tokens_and_repeated_ids(spark, hf):
+    """What the library makes one id of is one id; null and repeated ids don't gather in one group."""
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>"), (3, "<|endof")] + [(None, "same words " * 30)] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.best_fit(df, JSON, P.PATTERN, group_docs=50).collect()
+    for i, t in rows[:3]:
+        ids = array("I", [*hf.encode(t, add_special_tokens=False).ids, 2])
+        assert [(r.length, r.ids_crc32) for r in got if r.doc_id == i] == [(len(ids), zlib.crc32(ids.tobytes()))]
+    own = {r.sequence_id >> 40 for r in got if r.doc_id is None}
+    assert len(got) == len(rows) and len(own) > 4
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in b) <= 1024 for b in bins.values())
