@@ -5,8 +5,8 @@ whether the base rules fail, the names of the broken thresholds and the verdict.
 
 Nulls: a null text counts as empty. Empty and blank texts have no words and fail the base rules. Very long
 texts are read whole; repeated windows are found by sorting the hashes of one text's windows. Ties and
-repeated rows: every row is judged by itself. Extra columns stay; columns that bear the name of a result are
-replaced.
+repeated rows: every row is judged by itself. Empty tables give no rows. Extra columns stay, whatever their names; columns
+that bear the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm._native import let, whole, words
+from folioscope.llm._native import let, prefix, whole, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -42,7 +42,7 @@ class Threshold:
     high: float | None = None
 
 
-#: The method's rules. Bounds lie between the labelled good and bad texts of the training split, on the loose side.
+#: The method's rules. The bounds were set by hand, between the labelled good and bad texts of the sample tables, on the loose side.
 RULES = (
     Threshold("mean_word_length", "word_chars", "n_words", 3.0, 12.0),
     Threshold("symbols_per_word", "n_symbols", "n_words", None, 0.1),
@@ -83,27 +83,27 @@ def _covered(windows: Column) -> Column:
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_shouts, n_letter_words, n_stop_words and n_echoes (words equal to the one before)."""
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_shouts", "n_letter_words", "n_stop_words", "n_echoes"]
-    kept = [c for c in df.columns if c not in made]
+    kept, p = [F.col(f"`{c}`") for c in df.columns if c not in made], prefix(df)
+    w, lines, win = F.col(f"{p}w"), F.col(f"{p}lines"), F.col(f"{p}win")
     t = whole(F.col(text))
     staged = df.select(
         *kept,
-        words(F.col(text)).alias("__w"),
-        F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"),
-        F.regexp_count(t, F.lit("[#*$%&|<>]")).alias("__symbols"),
-        F.regexp_count(t, F.lit("!")).alias("__shouts"),
+        words(F.col(text)).alias(f"{p}w"),
+        F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias(f"{p}lines"),
+        F.regexp_count(t, F.lit("[#*$%&|<>]")).alias(f"{p}symbols"),
+        F.regexp_count(t, F.lit("!")).alias(f"{p}shouts"),
     )
-    staged = staged.withColumn("__win", F.when(F.size("__w") > WINDOW, _windows(F.col("__w"))))
-    w, win = F.col("__w"), F.col("__win")
+    staged = staged.withColumn(f"{p}win", F.when(F.size(w) > WINDOW, _windows(w)))
     repeats = F.when(F.size(F.array_distinct(win)) < F.size(win), _covered(win)).otherwise(0)
     return staged.select(
         *kept,
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        F.col("__symbols").cast("long").alias("n_symbols"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.col(f"{p}symbols").cast("long").alias("n_symbols"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeats, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.col("__shouts").cast("long").alias("n_shouts"),
+        F.col(f"{p}shouts").cast("long").alias("n_shouts"),
         F.size(F.filter(w, lambda x: x.rlike("\\p{L}"))).cast("long").alias("n_letter_words"),
         F.size(F.filter(w, lambda x: F.lower(x).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
         F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).cast("long").alias("n_echoes"),

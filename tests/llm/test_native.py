@@ -107,12 +107,92 @@ def test_allowed_words_do_not_hide_a_key_beside_them(spark):
     assert [got[i] for i in range(len(found + left))] == [[("entropy", t)] for t in found] + [[]] * len(left)
 
 
-def test_clean_documents_get_no_added_spans(spark, sf_dir):
+def brute_added_pii(text):
+    """All candidates by plain patterns, scored by walking the trees; the highest scores first."""
+    t, base = text or "", brute_pii(text)
+    trees, least = pii.model()
+    got = []
+    for kind, pattern in pii.GENERATORS:
+        for m in re.finditer(pattern, t):
+            x = (m.start(), pii.KINDS.index(kind), m.end(), kind)
+            v = pii.score_of(trees, pii.features_of(m.group(), t[max(0, m.start() - pii.CONTEXT) : m.start()]))
+            if v >= least[kind] and not any(y[0] < x[2] and x[0] < y[2] for y in base):
+                got.append((-v, *x))
+    out = []
+    for _, *x in sorted(got):
+        if not any(y[0] < x[2] and x[0] < y[2] for y in out):
+            out.append(tuple(x))
+    return out
+
+
+def brute_added_secrets(text):
+    """All candidates by plain patterns, each part's best window counted anew."""
+    t, base, out = text or "", brute_secrets(text), []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        def hot(part):
+            least = next((bits for _, p, bits in secrets.CLASSES if re.search(p, part)), 99)
+            return len(part) >= secrets.WINDOW and not any(re.search(p, part) for p in secrets.ALLOWED) and entropy_brute(part) >= least - 1e-12
+        if any(map(hot, re.split(secrets.ALLOWED_WORDS, m.group()))) and not any(y[0] < m.end() and m.start() < y[2] for y in base):
+            out.append((m.start(), 3, m.end(), "entropy"))
+    return out
+
+
+PLANTED = [
+    "write to jane dot doe at gmail dot com today", "Fax: 01632 960 001 or tel 06 12 34 56 78", "invoice 2023-555-1234 of 2024-01-02 costs 12.345.678", "phone 030 1234 5678 SSN 123-45-6789 part AB12CDEFGHIJKLMN",
+    "look at this dot matrix", "call 555-123-4567, mail bob [at] site [dot] org; iban DE44 5001 0517 5407 3249 31", "mobile: 0171/555 1234 0171/555 1234",
+    "ghp_16C7e42F292c6912E7710c838347Ae178B4a and q7Rk2ZpX9vLw4TnB8sYc1HdJ6mGf3AeU5oKi0WxN", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1 Donaudampfschifffahrtsgesellschaftskapitaen 123e4567-e89b-12d3-a456-426614174000",
+]
+
+
+@pytest.mark.parametrize("module,brute", [(pii, brute_added_pii), (secrets, brute_added_secrets)])
+def test_added_spans_equal_brute_force(spark, sf_dir, module, brute):
+    planted = spark.createDataFrame([(10_000_000 + i, t) for i, t in enumerate(PLANTED)], "doc_id long, text string")
+    added = 0
+    for r in module.scan(corpus(spark, sf_dir).select("doc_id", "text").unionByName(planted)).collect():
+        had = {tuple(x) for x in r.base_spans}
+        got = sorted((x.s, x.o, x.e, x.k) for x in r.spans if tuple(x) not in had)
+        assert got == sorted(brute(r.text)), (r.doc_id, (r.text or "")[:200])
+        added += len(got)
+    assert added >= 3
+
+
+def test_planted_cases(spark):
+    docs = spark.createDataFrame(list(enumerate(PLANTED)), "doc_id long, text string")
+    d = {r.doc_id: [x.m for x in r.spans] for r in pii.scan(docs).collect()}
+    assert d[0] == ["jane dot doe at gmail dot com"] and d[1] == ["01632 960 001", "06 12 34 56 78"] and d[2] == d[4] == [] and len(d[5]) == 3
+    s = {r.doc_id: [x.m for x in r.spans] for r in secrets.scan(docs).collect()}
+    assert len(s[7]) == 2 and s[8] == []
+
+
+def test_pii_model_on_held_out_formats():
+    """Recall and precision by kind on rows of another seed."""
+    trees, least = pii.model()
+    rows = pii.training_rows(4000, seed=99)
+    for kind in least:
+        own = [(pii.score_of(trees, x) >= least[kind], y) for k, x, y in rows if k == kind]
+        hit, wrong, all_ = sum(g and y for g, y in own), sum(g and not y for g, y in own), sum(y for _, y in own)
+        assert hit >= 0.95 * (hit + wrong), kind
+        print(kind, round(hit / all_, 3), round(hit / max(1, hit + wrong), 3))
+
+
+def test_prose_of_the_sample_gets_no_added_spans(spark, sf_dir):
+    """The sample's documents hold base kinds only; the prose around them must not be taken for more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert secrets.scan(docs).filter("size(spans) > size(base_spans)").count() == 0
     assert pii.scan(docs).filter("size(spans) > size(base_spans)").count() == 0
 
 
+@pytest.mark.parametrize("run", [pii.scan, secrets.scan, quality.quality, secrets.redact, pii.redact])
+def test_columns_of_any_name_and_empty_tables(spark, run):
+    names = ["__w", "__all", "__more", "__email", "__lines", "__win", "n.dot", "__base"]
+    df = documents(spark, False).select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    plain = run(documents(spark, False).select("doc_id", "text"))
+    out = run(df)
+    assert [c for c in out.columns if c not in plain.columns] == names
+    assert sorted(map(str, out.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert run(df.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     out = {r.doc_id: r.text for r in secrets.redact(documents(spark, False)).collect()}
     assert out[0] is None and out[3] == "one" and out[16] == "ünïcödé 😀 <ASSIGN> 😀 user@exämple.com me@example.org"
@@ -149,10 +229,13 @@ def test_urls_equal_brute_force(spark, sf_dir):
     rows = [(i, u) for i, u in enumerate([
         None, "", "nohost", "http://", "HTTP://EXAMPLE.COM/en/7", "http://xexample.com/en/7", "http://www.Example.com/en/70?x#y", "http://a.example.com/en/70/x/y", "https://b.a.example.com/en/70/x", "http://example.com?/en/7",
         "http://example.net/de/8a", "http://example.net/de/", "http://net/de/8", "ftp://x.co.uk", "http://x://y/en/7", "http://com/en/", "http://com/en", "a://é.com/en/\nq", "http://example.com/en/7/../%20 é",
+        "http://com/en/\U0010ffffx", "http://com/en/\U0010fffe\U0010ffff", "http://a.\U0010ffff.com/en/",
     ])]
     df = spark.createDataFrame(rows + [(99, "http://www.example.com/en/70"), (99, "http://www.example.com/en/70")], "page_id long, url string")
     df = df.unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"))
     for r in urls.filter_urls(df, urls.rule_table(spark, rules), salts=4).collect():
         assert (r.host, r.path, r.rule, r.verdict) == brute_url(r.url, rules), r.url
+    odd = urls.filter_urls(df.select("page_id", "url", F.lit(1).alias("__rule"), F.lit(2).alias("n.dot")), urls.rule_table(spark, rules))
+    assert odd.columns == ["page_id", "url", "__rule", "n.dot", "host", "path", "rule", "verdict"] and odd.count() == df.count()
     empty = spark.createDataFrame([], "page_id long, url string, host string")
     assert urls.filter_urls(empty, urls.rule_table(spark, rules)).count() == 0
