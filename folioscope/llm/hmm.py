@@ -204,7 +204,7 @@ def _decoded(column) -> list[np.ndarray]:
 def _estep(model, rest: int | None = None):
     """One row a symbol: its expected emissions by state. Symbols -1.. hold transitions, -1000 the starts, -1001 the likelihood.
 
-    With ``rest``, also one row of kind 1 for each hash of a tail token, in the batches that hold it, with how often it occurs."""
+    With ``rest``, also one row of kind 1 for each hash of a tail token, in the slabs that hold it, with how often it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = model.value
@@ -217,15 +217,15 @@ def _estep(model, rest: int | None = None):
 
         for b in batches:
             ids, lengths, opens = segments(_decoded(b.column(0)), symbols)
-            seen = []
+            tail, done = (b.column(1).flatten().to_numpy(), 0) if rest is not None else (None, 0)
             for i in range(0, len(ids), SLAB):
                 at = slice(i, i + SLAB)
                 s, m, e, x, *own = expected(ids[at], lengths[at], start, move, emit, symbols, opens[at], rest)
                 starts, moves, emits, total = starts + s, moves + m, emits + e, total + x
-                seen += own
-            if seen and len(own := np.concatenate(seen)):
-                h, place = np.unique(b.column(1).flatten().to_numpy(), return_inverse=True)
-                yield out(1, h, np.bincount(place), np.stack([np.bincount(place, own[:, j]) for j in range(k)], 1))
+                if own and len(own[0]):  # a slab at a time, so that little is held
+                    h, place = np.unique(tail[done : done + len(own[0])], return_inverse=True)
+                    done += len(own[0])
+                    yield out(1, h, np.bincount(place), np.stack([np.bincount(place, own[0][:, j]) for j in range(k)], 1))
         if rest is not None:
             emits[rest] = 0  # its tokens are counted by themselves
         some = np.flatnonzero(emits.sum(1))
