@@ -26,6 +26,7 @@ is linear. Ids may be of any type. Extra columns are ignored, whatever their nam
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -48,7 +49,7 @@ STAY = 0.95
 COMMON = 0.05
 #: Segments worked on at once, and distinct tokens counted before they are handed on.
 SLAB, COUNTED = 4096, 400_000
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Symbols are 16-bit numbers in encoded texts; the last ones are kept free.
 MOST_SYMBOLS = 65_000
 END = b"\n"  # no word holds a line feed
@@ -329,10 +330,12 @@ def untie(encoded: DataFrame, model, unigram: np.ndarray, others: int, all_: flo
     return model, emissions
 
 
-def _sweep(spark) -> None:
-    """Lets Spark's cleaner delete the shuffles of what is written and no longer used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _sweep(spark, wait: float = 0.0) -> None:
+    """Lets Spark's cleaner delete the shuffles of what is written and no longer used; wait: seconds that it gets before the next step begins."""
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def _own_symbols(texts: pa.Table, found: pa.Table, emit: np.ndarray, rest: int):
@@ -387,10 +390,12 @@ def _first_tail(states: int, half: float, all_: float):
     return run
 
 
-def _sweep(spark) -> None:
-    """Lets Spark's cleaner delete the shuffles of what is written and no longer used."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _sweep(spark, wait: float = 0.0) -> None:
+    """Lets Spark's cleaner delete the shuffles of what is written and no longer used; wait: seconds that it gets before the next step begins."""
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def train_all(encoded: DataFrame, pairs: DataFrame, tail: DataFrame, unigram: np.ndarray, hashes: np.ndarray, others: int, all_: float, rest: int, states: int, rounds: int):
@@ -506,6 +511,7 @@ def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", state
     texts, blocks = encoded.filter("not block"), encoded.filter("block")
     model, _ = train(texts, shared, states, rounds, hashes, weight, tolerance)
     model, emissions = untie(texts, model, unigram, others, all_, rest)
+    _sweep(spark, 1.0)  # the sums of the last round are large
     pairs = blocks.select(F.col("p").alias("q"), F.explode("hs").alias("h"))
     final = spark.sparkContext.broadcast(model)
     scored = texts.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("q")).applyInArrow(_score(final, rest), SCORED.format(kind=kind))
