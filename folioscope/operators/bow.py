@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_COLUMNS = 10_000
+
+
 def term_frequency(df: DataFrame, doc: str, term: str) -> DataFrame:
     return df.filter(F.col(doc).isNotNull() & F.col(term).isNotNull()).groupBy(doc, term).agg(F.count("*").alias("tf"))
 
@@ -32,8 +35,12 @@ def tf_idf(df: DataFrame, doc: str, term: str, norm: str | None = None) -> DataF
 
 
 def wide(values: DataFrame, doc: str, term: str, value: str = "tfidf", terms: list | None = None, name: str = "cluster_{}_tfidf", kind: str = "float") -> DataFrame:
-    """One column a term, terms ascending, 0 where absent. The list of terms bounds the width; without one it is read first."""
-    terms = terms if terms is not None else sorted(r[0] for r in values.select(term).distinct().collect())
+    """One column a term, terms ascending, 0 where absent. The list of terms bounds the width; without one it is read first, and more than MOST_COLUMNS terms are an error."""
+    if terms is None:
+        found = values.select(term).distinct().limit(MOST_COLUMNS + 1).collect()
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} terms: name those that are wanted")
+        terms = sorted(r[0] for r in found)
     pivoted = values.groupBy(doc).pivot(term, terms).agg(F.first(value))
     return pivoted.select(doc, *[F.coalesce(F.col(f"`{t}`").cast(kind), F.lit(0).cast(kind)).alias(name.format(t)) for t in terms])
 

@@ -8,15 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.shared import written
+
+
+def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], pick: Callable) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    out = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return out.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns])
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
-    """The first row of each key in a total order."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__n", n).filter("__n = 1").drop("__n")
+    """The first row of each key in a total order, ascending; each task hands on one row a key, so frequent keys don't meet in one."""
+    return _extreme(df, keys, order, F.min_by)
 
 
-def last_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    return first_by(df, keys, F.desc(order))
+def last_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
+    return _extreme(df, keys, order, F.max_by)
 
 
 def merge_outer(tables: Sequence[DataFrame], order: str | None = None, complete: bool = False, guard: str | None = "cluster_") -> DataFrame:
@@ -80,19 +89,37 @@ def assert_empty(df: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {row}")
 
 
+def _or_error(ok: Column, value: Column, kind: str, message: str) -> Column:
+    """value, or an error when the row is computed."""
+    return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), F.coalesce(value.cast("string"), F.lit("null")))).cast(kind))
+
+
 def keep_ids(df: DataFrame, key: str, ids: DataFrame, drop_key: bool = False, strict: bool = True) -> DataFrame:
-    """Rows whose key is listed; a listed key that no row has is an error."""
+    """Rows whose key is listed; a listed key that no row has is an error, raised by the rows' own plan."""
     wanted = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
     if strict:
-        assert_empty(wanted.join(df, key, "left_anti"), "listed but not in the table")
-    out = df.join(wanted, key, "left_semi")
+        there = wanted.join(df.withColumn("__there", F.lit(True)), key, "left")
+        checked = _or_error(F.col("__there").isNotNull(), F.col(key), dict(df.dtypes)[key], "listed but not in the table")
+        out = there.select(*[checked.alias(c) if c == key else F.col(c) for c in df.columns])
+        if drop_key:  # the check has to stay in the plan
+            out = out.filter(F.col(key).isNotNull())
+    else:
+        out = df.join(wanted, key, "left_semi")
     return out.drop(key) if drop_key else out
 
 
+def overlap(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Keys that are in both lists."""
+    return train.select(F.col(train.columns[0])).intersect(test.select(F.col(test.columns[0])))
+
+
 def train_test(df: DataFrame, key: str, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two lists of keys make two tables; the lists must not meet, and every listed key must exist."""
-    assert_empty(train.select(F.col(train.columns[0])).intersect(test.select(F.col(test.columns[0]))), "in both lists")
-    return keep_ids(df, key, train), keep_ids(df, key, test)
+    """Two lists of keys make two tables; the lists must not meet, and every listed key must exist. Either fault is an error of the rows' own plan."""
+    name = train.columns[0]
+    both = overlap(train, test).withColumn("__both", F.lit(True))
+    checked = _or_error(F.col("__both").isNull(), F.col(name), dict(train.dtypes)[name], "in both lists")
+    apart = train.select(name).distinct().join(both, name, "left").select(checked.alias(name))
+    return keep_ids(df, key, apart), keep_ids(df, key, test)
 
 
 def split_by_lists(df: DataFrame, key: str, train: DataFrame, test: DataFrame) -> DataFrame:
@@ -105,13 +132,15 @@ def split_by_lists(df: DataFrame, key: str, train: DataFrame, test: DataFrame) -
 def enrich(keys: DataFrame, key: str, known: DataFrame, fetch: Callable[[DataFrame], DataFrame], append: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(key, terms) from a table, the missing or empty ones fetched; what was fetched and isn't empty is appended.
 
-    ``fetch`` takes distinct missing keys and returns (key, terms).
+    ``fetch`` takes distinct missing keys and returns (key, terms). With ``append``, what it returned is written once and read
+    by both uses, so each key is fetched once.
     """
     wanted = keys.select(key).distinct()
     have = known.filter(F.size("terms") > 0)
     missing = wanted.join(have, key, "left_anti")
     got = fetch(missing).filter(F.size("terms") > 0).select(key, "terms")
     if append is not None:
+        got = written(got, "fetched")
         append(got)
     return wanted.join(have.select(key, "terms").unionByName(got), key, "left")
 

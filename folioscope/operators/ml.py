@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import argmax
-from folioscope.operators.joins import assert_empty
 
+#: Parts that a class is sorted in when folds are dealt.
+BUCKETS = 1024
 #: fit(train, features, label) -> score(rows) -> rows with ``distribution`` and ``pred``
 Fit = Callable[[DataFrame, Sequence[str], str], Callable[[DataFrame], DataFrame]]
 
@@ -25,9 +26,16 @@ def clean(df: DataFrame, label: str) -> DataFrame:
 
 
 def folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int = 1) -> DataFrame:
-    """Adds fold, 0..k-1: within a class rows are dealt in the order of a hash, so folds have equal shares of each class."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.withColumn("fold", (F.row_number().over(order) - 1) % k)
+    """Adds fold, 0..k-1: within a class rows are dealt in the order of a hash, so folds have equal shares of each class.
+
+    A class is sorted in BUCKETS parts; what comes before a part is the sum of the counts of those before it."""
+    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BUCKETS)))
+    before = Window.partitionBy(label).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(label, "__bucket").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    counts = counts.select(F.col(label).alias("__label"), F.col("__bucket").alias("__part"), "__before")
+    place = F.row_number().over(Window.partitionBy(label, "__bucket").orderBy(F.xxhash64(F.lit(seed), key), key))
+    out = dealt.withColumn("__place", place).join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__bucket") == F.col("__part")))
+    return out.withColumn("fold", ((F.col("__before") + F.col("__place") - 1) % k).cast("int")).drop("__bucket", "__place", "__label", "__part", "__before")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -127,10 +135,9 @@ def precomputed(df: DataFrame, key: str, predictions: DataFrame, labels: Sequenc
     k, s = len(labels), smooth or 0.0
     if not 0 <= s < 1:
         raise ValueError("smooth must be in [0, 1)")
-    assert_empty(predictions.filter(~F.col("label").isin(*labels)), "not a class")
     top = 1 / (1 + s * (k - 1))
     other = (1 - top) / (k - 1) if k > 1 else 0.0
-    out = df.join(predictions.select(key, F.col("label").alias("pred")), key, "left")
+    out = df.join(predictions.select(key, F.when(F.col("label").isNull() | F.col("label").isin(*labels), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("not a class: "), F.col("label"))).cast("string")).alias("pred")), key, "left")
     cells = F.array(*[F.when(F.col("pred").isNull(), 0.0).when(F.col("pred") == x, top).otherwise(other) for x in labels])
     return out.withColumn("distribution", cells)
 

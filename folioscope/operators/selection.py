@@ -31,12 +31,18 @@ def info_gain(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 
 def one_vs_rest(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(target, feature, gain) of the question 'is the label target?': from the same counts, summed anew for each label."""
+    """(target, feature, gain) of the question 'is the label target?', from the margins of the same counts.
+
+    Of a cell (hit, target) with n rows, the rest of the hit's rows are the answer no; hits that the target never has are all no."""
     counts = contingency(df, features, label)
-    targets = counts.select(F.col("label").alias("target")).distinct()
-    asked = counts.crossJoin(targets)  # counts and labels are both short
-    asked = asked.groupBy("target", "feature", "hit", (F.col("label") == F.col("target")).cast("string").alias("label")).agg(F.sum("n").alias("n"))
-    return gain(asked, ["target"])
+    total, of_hit = F.sum("n").over(Window.partitionBy("feature")), F.sum("n").over(Window.partitionBy("feature", "hit"))
+    cells = counts.withColumn("total", total).withColumn("of_hit", of_hit).withColumn("of_label", F.sum("n").over(Window.partitionBy("feature", "label")))
+    n, all_, hit, own = (F.col(c) for c in ("n", "total", "of_hit", "of_label"))
+    yes = n / all_ * (F.log2(n / hit) - F.log2(own / all_))
+    no = F.when(hit > n, (hit - n) / all_ * (F.log2((hit - n) / hit) - F.log2((all_ - own) / all_))).otherwise(0.0)
+    out = cells.groupBy(F.col("label").alias("target"), "feature").agg(F.sum(yes + no).alias("met"), F.first(all_).alias("total"), F.first(own).alias("own"), F.sum("of_hit").alias("seen"))
+    never = (F.col("total") - F.col("seen")) / F.col("total")
+    return out.select("target", "feature", (F.col("met") + F.when(never > 0, -never * F.log2((F.col("total") - F.col("own")) / F.col("total"))).otherwise(0.0)).alias("gain"))
 
 
 def top(gains: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:

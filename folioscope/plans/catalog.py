@@ -82,7 +82,7 @@ def rule_vector(spark, sf_dir):
 
 @query(_HITS + " select label, count(*) as n from hits group by label")
 def rule_table_theta_join(spark, sf_dir):
-    rules = rules_engine.rule_table(spark, LANGUAGE_RULES)  # a table of a few rules: broadcast by its size
+    rules = rules_engine.rule_table(spark, LANGUAGE_RULES)  # a few rules as a table: a nested loop, an example of a theta join and not for pipelines
     return table(spark, sf_dir, "documents").join(rules, F.expr("text rlike pattern")).groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -188,7 +188,7 @@ def split_train_first(spark, sf_dir):
 @query("select count(*) as n from (select doc_id from labels where quality = 1 intersect select doc_id from labels where toxic = 1)")
 def split_overlap_check(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    return labels.filter("quality = 1").select("doc_id").intersect(labels.filter("toxic = 1").select("doc_id")).agg(F.count("*").alias("n"))
+    return joins.overlap(labels.filter("quality = 1").select("doc_id"), labels.filter("toxic = 1").select("doc_id")).agg(F.count("*").alias("n"))
 
 
 @query("select c_custkey, coalesce(r_name, n_name) as place from customer join nation on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey and r_name <> 'ASIA'")
@@ -214,8 +214,8 @@ def label_to_id(spark, sf_dir):
 
 @query("select min(doc_id) as doc_id, text from documents group by text")
 def dedupe_first(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("text", "doc_id")
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("text", "doc_id").withColumn("at", F.col("doc_id"))
+    return joins.first_by(docs, ["text"], "at").select("doc_id", "text")
 
 
 @query("select d.doc_id, lang, case when quality is null then null when quality = 1 then 'good' else 'bad' end as truth from documents d left join labels l using (doc_id)")
@@ -272,9 +272,10 @@ def lda_lines(spark, sf_dir):
 @query("""with w as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) as w from documents), tf as (select doc_id, w, count(*) as tf from w where length(w) > 2 group by 1, 2)
 select w as term, count(*) as df, sum(tf)::bigint as cf from tf group by 1""")
 def document_terms(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term")).filter("length(term) > 2")
-    t = bow.term_frequency(words, "doc_id", "term")
-    return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # A document's words are sorted in its row, where the first of equal ones counts the document; only terms move.
+    words = table(spark, sf_dir, "documents").select(F.array_sort(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 2)).alias("w"))
+    first = words.select(F.explode(F.transform("w", lambda w, i: F.struct(w.alias("term"), (~w.eqNullSafe(F.get("w", i - 1))).alias("first")))).alias("x"))
+    return first.groupBy("x.term").agg(F.count_if("x.first").alias("df"), F.count("*").alias("cf"))
 
 
 # ---- selection -------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.schemas import ARTICLE, GROUPS, LABELS
+from folioscope.shared import written
 
 ATTRIBUTES = ("pmcid", "pmid", "publisher", "journal", "doi", "id", "dir", "title", "subject")
 #: Where a journal article keeps its fields, below <article>: path, and the attribute test of the last step.
@@ -171,7 +172,8 @@ def graphic_doi(articles: DataFrame) -> DataFrame:
 
 
 def with_labelled_graphic(articles: DataFrame, truth: DataFrame, graphic: str = "graphic_id") -> DataFrame:
-    """Articles that have a graphic in the table of labels."""
-    ids = articles.select("*", F.flatten(F.transform("figures", lambda f: F.transform(f["graphics"], lambda g: g["id"]))).alias("__ids"))
-    has = ids.select(F.xxhash64("dir", "id", "doi", "pmcid").alias("__row"), F.explode("__ids").alias(graphic)).join(truth.select(graphic).distinct(), graphic, "left_semi").select("__row").distinct()
-    return ids.withColumn("__row", F.xxhash64("dir", "id", "doi", "pmcid")).join(has, "__row", "left_semi").drop("__row", "__ids")
+    """Articles that have a graphic in the table of labels. Articles need no identity of their own: rows are numbered, and written once with their numbers."""
+    numbered = written(articles.withColumn("__row", F.monotonically_increasing_id()), "articles")
+    ids = numbered.select("__row", F.explode(F.flatten(F.transform("figures", lambda f: F.transform(f["graphics"], lambda g: g["id"])))).alias(graphic))
+    has = ids.join(truth.select(graphic).distinct(), graphic, "left_semi").select("__row").distinct()
+    return numbered.join(has, "__row", "left_semi").drop("__row")

@@ -7,12 +7,12 @@ import tarfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import scalars
-from folioscope.operators.joins import assert_empty, last_by
+from folioscope.operators.joins import last_by
 from folioscope.operators.selection import parse_ranges
 
 DESCRIPTOR_WIDTH = 128
@@ -30,7 +30,10 @@ def binary_files(spark: SparkSession, path, glob: str | None = None, files_per_t
     raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     out = raw.select(scalars.basename(F.col("path")).alias("key"), F.col("content").alias("value"), "path")
     if files_per_task:
-        out = out.repartition(max(1, -(-raw.select("path").count() // files_per_task)))
+        # Only paths are counted and dealt; each task then reads its files' contents.
+        if files_per_task < 0:
+            raise ValueError("files_per_task must not be negative")
+        out = out.repartition(max(1, -(-raw.select("path").count() // files_per_task)), "path")
     return out.drop("path")
 
 
@@ -76,10 +79,9 @@ def typed_csv(spark: SparkSession, path, sep: str | None = None, missing: str =
 
 
 def codes_by_appearance(df: DataFrame, column: str, order: str) -> DataFrame:
-    """(value, code): nominal codes in the order in which values first appear."""
-    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("__first"))
-    ranked = first.orderBy("__first").select("value").collect()  # one row a distinct nominal value
-    return df.sparkSession.createDataFrame([(r.value, i) for i, r in enumerate(ranked)], "value string, code int")
+    """(value, code): nominal codes in the order in which values first appear; a table to join, whatever its size."""
+    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.min(order).alias("__first"))
+    return first.select("value", (F.row_number().over(Window.orderBy("__first", "value")) - 1).cast("int").alias("code"))  # one row a distinct value
 
 
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
@@ -92,10 +94,15 @@ def delimited_map(spark: SparkSession, path, delimiter: str, skip: int = 0) -> D
     """(key, value) lines; # comments and the first lines skipped; under two fields is an error; of equal keys the last line wins."""
     rows = numbered_lines(spark, path).filter((F.col("line") > skip) & (F.length("value") > 0) & ~F.col("value").startswith("#"))
     parts = F.split("value", _quoted(delimiter))
-    assert_empty(rows.filter(F.size(parts) < 2), "a line without a value")
+    rows = rows.withColumn("value", _or_error(F.size(parts) >= 2, "a line without a value"))
     return last_by(rows.select("line", parts[0].alias("key"), parts[1].alias("value")), ["key"], "line").select("key", "value")
 
 
+def _or_error(ok: Column, message: str, column: str = "value") -> Column:
+    """The column, or an error when the row is computed."""
+    return F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), F.col(column))).cast("string"))
+
+
 def _quoted(delimiter: str) -> str:
     return r"\Q" + delimiter + r"\E"
 
@@ -104,9 +111,9 @@ def ground_truth(spark: SparkSession, path, codes: Sequence[str]) -> DataFrame:
     """(graphic_id, code) of lines ``<id>.jpg, CODE``; other lines and unknown codes are errors; the last line of an id wins."""
     rows = numbered_lines(spark, path).filter(F.length(F.trim("value")) > 0)
     line = r"^(.*)\.jpg\s*,\s*(\S+)\s*$"
-    assert_empty(rows.filter(~F.col("value").rlike(line)), "not a line of ground truth")
+    rows = rows.withColumn("value", _or_error(F.col("value").rlike(line), "not a line of ground truth"))
     out = rows.select("line", F.trim(F.regexp_extract("value", line, 1)).alias("graphic_id"), F.regexp_extract("value", line, 2).alias("code"))
-    assert_empty(out.filter(~F.col("code").isin(*codes)), "unknown code")
+    out = out.withColumn("code", _or_error(F.col("code").isin(*codes), "unknown code", "code"))
     return last_by(out, ["graphic_id"], "line").select("graphic_id", "code")
 
 
@@ -180,7 +187,7 @@ def term_table(spark: SparkSession, url: str, table: str, properties: dict | Non
 
 def medline_terms(df: DataFrame, body: str = "body") -> DataFrame:
     """Adds terms: what follows ``MH  - `` in a record's lines; a body that isn't a record gives none, an empty term is an error."""
-    found = F.transform(F.filter(F.split(body, "[\r\n]+"), lambda l: l.startswith("MH  - ")), lambda l: F.substring(l, 7, 100_000))
+    found = F.transform(F.filter(F.split(body, "[\r\n]+"), lambda l: l.startswith("MH  - ")), lambda l: F.substr(l, F.lit(7)))
     bad = F.raise_error(F.lit("an empty term")).cast("array<string>")
     checked = F.when(F.exists(found, lambda t: F.length(F.trim(t)) == 0), bad).otherwise(found)
     return df.withColumn("terms", F.when(F.col(body).contains("PMID- "), checked).otherwise(F.array().cast("array<string>")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import clean_header, number_text
@@ -87,12 +87,13 @@ def write_vectors(df: DataFrame, path: str, vector: str, single: bool = False, p
 
 
 def write_counted(df: DataFrame, path: str) -> int:
-    """Parquet whose number of rows is checked against the input's."""
-    df.write.mode("overwrite").parquet(path)
-    written, there = df.sparkSession.read.parquet(path).count(), df.count()
-    if written != there:
-        raise RuntimeError(f"{written} rows written of {there}")
-    return written
+    """Parquet whose number of rows is checked against those that went into the writer, counted on their way."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    there, found = seen.get["rows"], df.sparkSession.read.parquet(path).count()
+    if found != there:
+        raise RuntimeError(f"{found} rows written of {there}")
+    return found
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import images, rules_engine
 from folioscope.rules import CAPTION_RULES
-from folioscope.schemas import label_dimension
+from folioscope.schemas import ARTICLE, label_dimension
 from folioscope.sources import articles as art
 from folioscope.sources import files, sinks
 from folioscope.streaming import rules_stream
@@ -59,13 +59,13 @@ def test_record_lists(spark, tmp_path):
 def test_text_tables(spark, tmp_path):
     m = put(tmp_path, "m.txt", "head=1\n# note\na=1\nb=2=3\na=9\n")
     assert sorted(map(tuple, files.delimited_map(spark, m, "=", skip=1).collect())) == [("a", "9"), ("b", "2")]
-    with pytest.raises(ValueError):
-        files.delimited_map(spark, put(tmp_path, "m2.txt", "alone\n"), "=")
+    with pytest.raises(Exception, match="a line without a value"):
+        files.delimited_map(spark, put(tmp_path, "m2.txt", "alone\n"), "=").collect()
     g = put(tmp_path, "gt.txt", "x1.jpg, CT\nx2.jpg,XR\nx1.jpg, MR\n")
     assert sorted(map(tuple, files.ground_truth(spark, g, ["CT", "XR", "MR"]).collect())) == [("x1", "MR"), ("x2", "XR")]
     for bad in ("x1.jpg, ZZ\n", "x1.jpg CT\n", "x1xjpg, CT\n"):
-        with pytest.raises(ValueError):
-            files.ground_truth(spark, put(tmp_path, "bad.txt", bad), ["CT"])
+        with pytest.raises(Exception, match="unknown code|not a line of ground truth"):
+            files.ground_truth(spark, put(tmp_path, "bad.txt", bad), ["CT"]).collect()
     assert [r.id for r in files.id_list(spark, put(tmp_path, "l.txt", " a \n\nb\n")).collect()] == ["a", "b"]
     assert sorted(map(tuple, files.class_map(spark, put(tmp_path, "c.txt", "CT 4\nXR 5\n")).collect())) == [("CT", 4), ("XR", 5)]
     assert sorted(map(tuple, files.caption_lines(spark, put(tmp_path, "cap.tsv", "1\tCT\textra\n\n2\tx\n")).collect())) == [("1", "CT"), ("2", "x")]
@@ -186,3 +186,16 @@ def test_streams(spark, tmp_path, sf_dir):
     q.stop()
     want = rules_stream.event_windows(spark.read.parquet(f"{sf_dir}/events.parquet"))
     assert sorted(map(tuple, spark.sql("select window_start, event_type, n from event_windows").collect())) == sorted(map(tuple, want.select("window_start", "event_type", "n").collect()))
+
+
+def test_long_terms_stay_whole(spark):
+    long = "x" * 150_000
+    df = spark.createDataFrame([(f"PMID- 1\nMH  - {long}\n",)], "body string")
+    assert files.medline_terms(df).first().terms == [long]
+
+
+def test_articles_without_identity_stay_apart(spark):
+    graphic = lambda i: [(str(i), None, None, [], [(f"g{i}", {})])]
+    rows = [(None, None, None, None, None, None, "same", None, None, graphic(i)) for i in (1, 2)]
+    out = art.with_labelled_graphic(spark.createDataFrame(rows, ARTICLE), spark.createDataFrame([("g2", "CT")], "graphic_id string, code string"))
+    assert [r.figures[0].graphics[0].id for r in out.collect()] == ["g2"]

@@ -42,10 +42,14 @@ def test_splits(spark):
     ids = lambda *xs: spark.createDataFrame([(x,) for x in xs], "id string")
     train, test = joins.train_test(df, "id", ids("a"), ids("b", "c"))
     assert rows(train) == [("a", 1)] and rows(test) == [("b", 2), ("c", 3)]
-    with pytest.raises(ValueError):
-        joins.train_test(df, "id", ids("a"), ids("a"))
-    with pytest.raises(ValueError):
-        joins.keep_ids(df, "id", ids("zz"))
+    # Faults are errors of the rows' own plan.
+    with pytest.raises(Exception, match="in both lists"):
+        joins.train_test(df, "id", ids("a"), ids("a"))[0].collect()
+    with pytest.raises(Exception, match="listed but not in the table"):
+        joins.keep_ids(df, "id", ids("zz")).collect()
+    with pytest.raises(Exception, match="listed but not in the table"):
+        joins.keep_ids(df, "id", ids("zz"), drop_key=True).collect()
+    assert rows(joins.keep_ids(df, "id", ids("a", "c", "c"), drop_key=True)) == [(1,), (3,)]
     assert rows(joins.split_by_lists(df, "id", ids("a", "b"), ids("b"))) == [("a", 1, "train"), ("b", 2, "train")]
 
 
@@ -58,6 +62,25 @@ def test_enrich_appends_what_was_fetched(spark):
     assert rows(out) == [("1", ["x"]), ("2", ["new"]), ("3", None)] and [tuple(r) for r in appended] == [("2", ["new"])]
 
 
+def test_each_missing_key_is_fetched_once(spark, tmp_path):
+    known = spark.createDataFrame([], "pmid string, terms array<string>")
+
+    def call(k):
+        with open(tmp_path / f"{k}", "a") as f:
+            f.write("x")
+        return [k]
+
+    keys = spark.createDataFrame([("1",), ("2",)], "pmid string")
+    out = joins.enrich(keys, "pmid", known, joins.fetch_with(call, "pmid"), lambda df: df.count())
+    assert rows(out) == [("1", ["1"]), ("2", ["2"])] and [(tmp_path / k).read_text() for k in "12"] == ["x", "x"]
+
+
+def test_first_and_last_of_a_key(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "y"), (None, 3, "z"), (None, 4, None)], "k string, at int, v string")
+    assert rows(joins.first_by(df, ["k"], "at"), "at") == [("a", 1, None), (None, 3, "z")]
+    assert rows(joins.last_by(df, ["k"], "at"), "at") == [("a", 2, "y"), (None, 4, None)]
+
+
 def test_confusion_and_rates(spark):
     df = spark.createDataFrame([("A", "A"), ("A", "A"), ("A", "B"), ("B", "B"), ("B", None)], "gold string, pred string")
     m = evaluate.confusion(df, labels=["A", "B"])
@@ -71,8 +94,10 @@ def test_confusion_and_rates(spark):
     assert evaluate.accuracy(m.limit(0)).first().total == 0
     assert "A: P=1.000" in evaluate.report(m)
     assert {tuple(r) for r in evaluate.merge(m, m).filter("n > 0").collect()} == {("A", "A", 4), ("A", "B", 2), ("B", "B", 2), ("B", "NONE", 2)}
-    with pytest.raises(ValueError):
-        evaluate.confusion(df, labels=["A"])
+    lazy = evaluate.confusion(df.withColumn("gold", F.raise_error(F.lit("a row was read")).cast("string")), labels=["A", "B"])
+    assert lazy.columns == ["gold", "pred", "n"]  # no job before the action
+    with pytest.raises(Exception, match="unknown label"):
+        evaluate.confusion(df, labels=["A"]).collect()
 
 
 def test_counters(spark):
@@ -142,8 +167,8 @@ def test_precomputed_gate_and_vote(spark):
     out = {r.id: r for r in ml.precomputed(spark.createDataFrame([("a",), ("b",)], "id string"), "id", t, labels, 0.7).collect()}
     assert out["a"].distribution[3] == pytest.approx(0.0775194, abs=1e-6) and out["a"].distribution[0] == pytest.approx(0.0542636, abs=1e-6)
     assert sum(out["b"].distribution) == 0 and out["b"].pred is None
-    with pytest.raises(ValueError):
-        ml.precomputed(t, "id", spark.createDataFrame([("a", "no")], "id string, label string"), labels)
+    with pytest.raises(Exception, match="not a class"):
+        ml.precomputed(t, "id", spark.createDataFrame([("a", "no")], "id string, label string"), labels).collect()
     g = spark.range(1).select(ml.sure_gate(F.array(F.lit(0.1), F.lit(0.9)), ["a", "b"], ["b"]).alias("x"), ml.sure_gate(F.array(F.lit(0.9), F.lit(0.1)), ["a", "b"], ["b"]).alias("y")).first()
     assert g.x == [0.0, 1.0] and g.y == [0.5, 0.5]
     tree = ml.Hierarchy({"r": ["a", "m"], "m": ["b", "c"]}, "r")
@@ -154,3 +179,6 @@ def test_folds_have_equal_shares(spark):
     df = spark.range(100).select(F.col("id"), (F.col("id") % 4).cast("string").alias("label"))
     n = ml.folds(df, "id", "label", 5).groupBy("fold", "label").count().collect()
     assert len(n) == 20 and {r["count"] for r in n} == {5}
+    odd = ml.folds(spark.range(37).select("id", F.when(F.col("id") > 3, "a").alias("label")), "id", "label", 3)
+    got = {(r.label, r.fold): r["count"] for r in odd.groupBy("label", "fold").count().collect()}
+    assert sorted(v for (l, _), v in got.items() if l == "a") == [11, 11, 11] and sorted(v for (l, _), v in got.items() if l is None) == [1, 1, 2]
