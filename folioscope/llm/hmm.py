@@ -13,7 +13,8 @@ ROUNDS. A last round unties them: one more pass adds up the expected emissions o
 
 Scale: the head's emissions go to the driver and the workers. Those of all other tokens (the tail) are a table in the shared
 folder, by the token's 64-bit hash. It joins the distinct tail tokens of each block of about BLOCK tokens, once, to score;
-none of them can be frequent, so that join has no hot key. Which counts the head has is read from a histogram of counts, so
+none of them can be frequent, so that join has no hot key. Blocks are scored in PARTS parts, so that only a part of these
+pairs is on disk at once. Which counts the head has is read from a histogram of counts, so
 nothing is sorted or met in one task. Encoded texts are written once to the shared folder, so rounds do not read texts again.
 What a step wrote is deleted after its last use.
 
@@ -30,6 +31,7 @@ import time
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ COMMON = 0.05
 #: Segments worked on at once, and distinct tokens counted before they are handed on.
 SLAB, COUNTED = 4096, 400_000
 BLOCK = 1 << 21
+#: Rows of a batch that a worker handles at once, and parts in which blocks are scored, each with its own shuffle.
+ROWS, PARTS = 1024, 6
 #: Symbols are 16-bit numbers in encoded texts; the last ones are kept free.
 MOST_SYMBOLS = 65_000
 END = b"\n"  # no word holds a line feed
@@ -63,6 +67,12 @@ def is_held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
@@ -71,7 +81,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return made
 
-    for b in batches:
+    for b in _fewer(batches):
         for text in b.column(0).to_pylist():
             seen.update(tokens(text))
             seen[END] += 1
@@ -130,7 +140,7 @@ def _encode(head, rest: int, end: tuple, block: int):
         def closed() -> pa.RecordBatch:
             return made(pa.nulls(1, kind), pa.nulls(1, pa.bool_()), [(p, True, 0, 0, 0.0, b"", list(seen))])
 
-        for b in batches:
+        for b in _fewer(batches):
             rows, kind, ended = [], b.column(0).type, []
             for text in b.column(2).to_pylist():
                 got = list(map(known.get, words := tokens(text)))
@@ -216,7 +226,7 @@ def _estep(model, rest: int | None = None):
             n = len(symbol)
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(symbol, pa.int64()), pa.array(c, pa.int64()), *(pa.array(rows[:, j].astype(np.float32 if kind else float).astype(float)) for j in range(k))], ["kind", "symbol", "c", *(f"s{j}" for j in range(k))])
 
-        for b in batches:
+        for b in _fewer(batches):
             ids, lengths, opens = segments(_decoded(b.column(0)), symbols)
             tail, done = (b.column(1).flatten().to_numpy(), 0) if rest is not None else (None, 0)
             for i in range(0, len(ids), SLAB):
@@ -327,6 +337,7 @@ def untie(encoded: DataFrame, model, unigram: np.ndarray, others: int, all_: flo
         share = float(0.5 / mass.sum())
     own = F.lit(share) + COMMON * (F.col("c") + 0.5) / F.lit(all_)
     emissions = tail.select(F.col("symbol").alias("h"), "c", F.array(*[((F.col(n) + own * float(mass[j])) / float(norm[j])).cast("float") for j, n in enumerate(names)]).alias("v"))
+    emissions.__dict__["path"] = done.__dict__["path"]
     return model, emissions
 
 
@@ -339,105 +350,19 @@ def _sweep(spark, wait: float = 0.0) -> None:
 
 
 def _own_symbols(texts: pa.Table, found: pa.Table, emit: np.ndarray, rest: int):
-    """Of a block: its texts in symbols of its own, the emissions of these, and the hashes and counts of its tail's symbols."""
-    h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
-    h, first = np.unique(h, return_index=True)
-    v = found.column("v").combine_chunks().flatten().to_numpy().reshape(-1, emit.shape[1])[first].astype(float)
-    hs = texts.column("hs").to_pylist()
-    out = []
-    for x, tail in zip(texts.column("ids").to_pylist(), hs):
-        ids = np.frombuffer(x, np.uint16).astype(np.int64)
-        if tail and len(h):
-            t = np.array(tail, np.int64)
-            i = np.minimum(np.searchsorted(h, t), len(h) - 1)
-            ids[ids == rest] = np.where(h[i] == t, len(emit) + i, rest)
-        out.append(ids)
-    return out, np.vstack([emit, v]), h, c[first]
-
-
-def _block_estep(sent, rest: int):
-    """One row a symbol of a block: kind 0 as of ``_estep``, kind 1 the tail's by hash, with their counts."""
-
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        start, move, emit = sent.value
-        k, n = len(start), len(emit)
-        own, table, h, c = _own_symbols(texts, found, emit, rest)
-        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((len(table), k)), 0.0
-        ids, lengths = segments(own, len(table))
-        for i in range(0, len(ids), SLAB):
-            s, m, e, x = expected(ids[i : i + SLAB], lengths[i : i + SLAB], start, move, table, len(table))
-            starts, moves, emits, total = starts + s, moves + m, emits + e, total + x
-        some, tail = np.flatnonzero(emits[:n].sum(1)), np.flatnonzero(emits[n:].sum(1))
-        model = np.concatenate([-1 - np.arange(k), [-1000, -1001]]) if len(own) else np.zeros(0, int)
-        rows = np.vstack([emits[some], *([moves, starts, np.full(k, total)] if len(own) else []), emits[n:][tail]])
-        zeros = len(some) + len(model)
-        kinds = np.repeat([0, 1], [zeros, len(tail)])
-        return pa.table({
-            "kind": pa.array(kinds, pa.int32()), "symbol": pa.array(np.concatenate([some, model, h[tail]]), pa.int64()),
-            "c": pa.array(np.concatenate([np.zeros(zeros, int), c[tail]]), pa.int64()), **{f"s{j}": pa.array(rows[:, j]) for j in range(k)},
-        })
-
-    return run
-
-
-def _first_tail(states: int, half: float, all_: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            e = ((c + half) / all_)[:, None] * np.exp(noise(h, states))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(e[:, j]) for j in range(states))], ["symbol", "c", *(f"s{j}" for j in range(states))])
-
-    return run
-
-
-def _sweep(spark, wait: float = 0.0) -> None:
-    """Lets Spark's cleaner delete the shuffles of what is written and no longer used; wait: seconds that it gets before the next step begins."""
-    for _ in range(2 if wait else 1):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
-
-
-def train_all(encoded: DataFrame, pairs: DataFrame, tail: DataFrame, unigram: np.ndarray, hashes: np.ndarray, others: int, all_: float, rest: int, states: int, rounds: int):
-    """The model of the head, the table (h, c, v) of the tail's emissions, and each round's log10-likelihood.
-
-    tail holds (symbol, c), the hash and count of every token outside the head; pairs (p, h) the distinct ones of each block."""
-    spark = encoded.sparkSession
-    names = [f"s{j}" for j in range(states)]
-    sums_of = lambda df: np.array([x or 0.0 for x in df.agg(*[F.sum(n) for n in names]).first()], float)
-    table = kept(tail.mapInArrow(_first_tail(states, 0.5, all_), "symbol long, c long, " + ", ".join(f"{n} double" for n in names)), "tail")
-    _sweep(spark)
-    emit = unigram[:, None] * np.exp(noise(hashes, states))
-    norm = emit.sum(0) + sums_of(table)
-    model = (*_first_moves(states), emit / norm)
-    share, mass = 0.0, np.zeros(states)
-    texts = encoded.filter("not held_out").select("p", "ids", "hs")
-    schema = "kind int, symbol long, c long, " + ", ".join(f"{n} double" for n in names)
-    history: list[float] = []
-
-    def emissions() -> DataFrame:
-        each = F.lit(share) + (COMMON if share else 0.0) * (F.col("c") + 0.5) / F.lit(all_)
-        return table.select(F.col("symbol").alias("h"), "c", F.array(*[((F.col(n) + each * float(mass[j])) / float(norm[j])).cast("float") for j, n in enumerate(names)]).alias("v"))
-
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
-        found = pairs.join(emissions(), "h")
-        out = texts.groupBy("p").cogroup(found.groupBy("p")).applyInArrow(_block_estep(sent, rest), schema)
-        done = kept(out.groupBy("kind", "symbol").agg(F.max("c").alias("c"), *[F.sum(n).alias(n) for n in names]), "round")
-        sent.unpersist()
-        sums = done.filter("kind = 0").select("symbol", *names).toArrow()
-        symbol, values = sums.column("symbol").to_numpy(), np.column_stack([sums.column(n).to_numpy() for n in names])
-        if not values[symbol >= 0].size:
-            forget(done)
-            break
-        forget(table)
-        table = done.filter("kind = 1")
-        table.__dict__["path"] = done.__dict__["path"]
-        model, mass, norm, likelihood = _updated(symbol, values, unigram, sums_of(table), others)
-        share = float(0.5 / mass.sum())
-        history.append(likelihood)
-        _sweep(spark)
-    return model, emissions(), history
+    """Of a block: its texts in symbols of its own, the emissions of these, and the counts of its tail's symbols."""
+    h, first = np.unique(found.column("h").to_numpy(), return_index=True)
+    c = found.column("c").to_numpy()[first]
+    table = np.empty((len(emit) + len(h), emit.shape[1]))
+    table[: len(emit)] = emit
+    table[len(emit) :] = found.column("v").combine_chunks().flatten().to_numpy().reshape(-1, emit.shape[1])[first]
+    parts = [np.frombuffer(x, np.uint16) for x in texts.column("ids").to_pylist()]
+    flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    if len(h):
+        t = texts.column("hs").combine_chunks().flatten().to_numpy()  # one for each symbol ``rest``, in order
+        i = np.minimum(np.searchsorted(h, t), len(h) - 1)
+        flat[flat == rest] = np.where(h[i] == t, len(emit) + i, rest)
+    return np.split(flat, np.cumsum([len(x) for x in parts])[:-1]) if parts else [], table, c
 
 
 def forward(texts: list[np.ndarray], start, move, emit) -> np.ndarray:
@@ -469,7 +394,7 @@ SCORED = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, base dou
 def _score(sent, rest: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         start, move, emit = sent.value
-        own, table, _, c = _own_symbols(texts, found, emit, rest)
+        own, table, c = _own_symbols(texts, found, emit, rest)
         logs = np.log10(np.concatenate([[0.5], c + 0.5]))
         n = len(emit)
         places = [x[(x >= n) | (x == rest)] for x in own]
@@ -511,10 +436,16 @@ def language_model(df: DataFrame, key: str = "doc_id", text: str = "text", state
     texts, blocks = encoded.filter("not block"), encoded.filter("block")
     model, _ = train(texts, shared, states, rounds, hashes, weight, tolerance)
     model, emissions = untie(texts, model, unigram, others, all_, rest)
-    _sweep(spark, 1.0)  # the sums of the last round are large
-    pairs = blocks.select(F.col("p").alias("q"), F.explode("hs").alias("h"))
     final = spark.sparkContext.broadcast(model)
-    scored = texts.groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("q")).applyInArrow(_score(final, rest), SCORED.format(kind=kind))
+    done = []
+    for part in range(PARTS):
+        _sweep(spark, 1.0)  # what the last step shuffled is large
+        mine = f"pmod((p >> 32) + (p & {(1 << 32) - 1}), {PARTS}) = {part}"
+        pairs = blocks.filter(mine).select(F.col("p").alias("q"), F.explode("hs").alias("h"))
+        scored = texts.filter(mine).groupBy("p").cogroup(pairs.join(emissions, "h").groupBy("q")).applyInArrow(_score(final, rest), SCORED.format(kind=kind))
+        kept(scored, "scored", done)
+    forget(encoded, emissions)
+    scored = reduce(DataFrame.unionAll, done)
     per_token = float(np.log10(total + 0.5 * (kinds + 1)))
     return scored.select(
         F.col("doc_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
