@@ -32,6 +32,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ COMMON = 0.05
 SLAB, COUNTED = 4096, 400_000
 BLOCK = 1 << 21
 #: Rows of a batch that a worker handles at once, and parts in which blocks are scored, each with its own shuffle.
-ROWS, PARTS = 1024, 6
+ROWS, PARTS = 1024, 4
 #: Symbols are 16-bit numbers in encoded texts; the last ones are kept free.
 MOST_SYMBOLS = 65_000
 END = b"\n"  # no word holds a line feed
@@ -110,13 +111,12 @@ def head_level(words: DataFrame, symbols: int) -> int:
 _HEADS: dict = {}
 
 
-def _lookup(head) -> dict[bytes, tuple[int, float]]:
-    """token -> (symbol, log10(c + 0.5)) of the head, built once a worker."""
+def _lookup(head) -> tuple[dict[bytes, int], np.ndarray]:
+    """Symbol of each token of the head, and log10(c + 0.5) by symbol, with 0 for all others; built once a worker."""
     name, names, counts = head.value
     if name not in _HEADS:
-        logs = np.log10(np.asarray(counts, float) + 0.5).tolist()
         _HEADS.clear()
-        _HEADS[name] = {t: (s, x) for s, (t, x) in enumerate(zip(names, logs))}
+        _HEADS[name] = {t: s for s, t in enumerate(names)}, np.append(np.log10(np.asarray(counts, float) + 0.5), 0.0)
     return _HEADS[name]
 
 
@@ -129,7 +129,7 @@ def _encode(head, rest: int, end: tuple, block: int):
     Texts that follow one another make blocks p of about ``block`` tokens; a row of its own holds a block's distinct tokens outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _lookup(head)
+        known, logs = _lookup(head)
         p, size, seen, kind = TaskContext.get().partitionId() << 32, 0, set(), None
 
         def made(doc, held, rows) -> pa.RecordBatch:
@@ -143,11 +143,11 @@ def _encode(head, rest: int, end: tuple, block: int):
         for b in _fewer(batches):
             rows, kind, ended = [], b.column(0).type, []
             for text in b.column(2).to_pylist():
-                got = list(map(known.get, words := tokens(text)))
-                tail = [w for w, g in zip(words, got) if g is None] if None in got else []
-                found = [g for g in got if g is not None] if tail else got
-                ids = np.array([rest if g is None else g[0] for g in got] + [end[0]], np.uint16)
-                rows.append((p, False, len(ids), len(found) + end[1], sum(g[1] for g in found) + end[2], ids.tobytes(), tail))
+                words = tokens(text)
+                found = np.fromiter(map(known.get, words, repeat(rest)), np.uint16, len(words))
+                tail = list(compress(words, (found == rest).tolist()))
+                ids = np.append(found, np.uint16(end[0]))
+                rows.append((p, False, len(ids), len(words) - len(tail) + end[1], float(logs[found].sum()) + end[2], ids.tobytes(), tail))
                 seen.update(tail)
                 size += len(ids)
                 if size >= block:
@@ -174,29 +174,32 @@ def expected(ids: np.ndarray, lengths: np.ndarray, start, move, emit, symbols: i
     opens = np.ones(len(ids), bool) if opens is None else opens
     n, width = ids.shape
     k = len(start)
-    table = np.vstack([emit, np.ones(k)])
-    likely = table[ids]  # n, width, k
-    alpha = np.empty((width, n, k))
+    at = np.ascontiguousarray(ids.T)
+    likely = np.take(np.vstack([emit, np.ones(k)]).T.copy(), at, axis=1)  # k, width, n: every step works on long rows
+    alpha = np.empty((k, width, n))
     scale = np.empty((width, n))
-    a = np.where(opens[:, None], start, long_run(move)) * likely[:, 0]
+    a = np.where(opens, start[:, None], long_run(move)[:, None]) * likely[:, 0]
     for t in range(width):
         if t:
-            a = (alpha[t - 1] @ move) * likely[:, t]
-        s = a.sum(1)
-        alpha[t], scale[t] = a / s[:, None], s
-    beta = np.ones((n, k))
+            a = move.T @ alpha[:, t - 1]
+            a *= likely[:, t]
+        np.sum(a, axis=0, out=scale[t])
+        np.divide(a, scale[t], out=alpha[:, t])
+    beta = np.ones((k, n))
     moves = np.zeros((k, k))
-    gamma = np.empty((n, width, k))
-    gamma[:, width - 1] = alpha[width - 1]
     for t in range(width - 2, -1, -1):
-        inside = (likely[:, t + 1] * beta) / scale[t + 1][:, None]
-        moves += (alpha[t] * (t + 1 < lengths)[:, None]).T @ inside
-        beta = inside @ move.T
-        gamma[:, t] = alpha[t] * beta
-    flat = ids.ravel()
-    emits = np.stack([np.bincount(flat, gamma[..., j].ravel(), symbols + 1)[:symbols] for j in range(k)], 1)
-    out = gamma[opens, 0].sum(0), moves * move, emits, np.log10(scale).sum()
-    return out if watch is None else (*out, gamma[ids == watch])
+        inside = likely[:, t + 1] * beta
+        inside /= scale[t + 1]
+        moves += (alpha[:, t] * (t + 1 < lengths)) @ inside.T
+        beta = move @ inside
+        alpha[:, t] *= beta  # from here on the states' probabilities
+    gamma, flat = alpha, at.ravel()
+    emits = np.stack([np.bincount(flat, gamma[j].ravel(), symbols + 1)[:symbols] for j in range(k)], 1)
+    out = gamma[:, 0, opens].sum(1), moves * move, emits, np.log10(scale).sum()
+    if watch is None:
+        return out
+    i, t = np.nonzero(ids == watch)
+    return *out, gamma[:, t, i].T
 
 
 def segments(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -376,14 +379,14 @@ def forward(texts: list[np.ndarray], start, move, emit) -> np.ndarray:
     begin = np.cumsum([0, *lengths[:-1]])
     got = np.zeros(len(order))
     live = len(order)
-    a = np.tile(start, (live, 1))
+    a, table = np.tile(start[:, None], live), emit.T.copy()
     for t in range(int(lengths[0])):
         while lengths[live - 1] <= t:
             live -= 1
-        a = (a[:live] @ move if t else a[:live]) * emit[flat[begin[:live] + t]]
-        s = a.sum(1)
+        a = (move.T @ a[:, :live] if t else a[:, :live]) * np.take(table, flat[begin[:live] + t], axis=1)
+        s = a.sum(0)
         got[:live] += np.log10(s)
-        a /= s[:, None]
+        a /= s
     out[order] = got
     return out
 
