@@ -26,6 +26,13 @@ def load_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(basename(F.col("image.origin")).alias("key"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+def register(name: str, extractor: Extractor) -> None:
+    """Makes an extractor known to ``extract``; a name is given once."""
+    if name in EXTRACTORS or "," in name or name != name.strip():
+        raise ValueError(f"not a new name: {name}")
+    EXTRACTORS[name] = extractor
+
+
 def extract(images: DataFrame, names: str) -> DataFrame:
     """(key, vec_idx, vector): one row a vector."""
     from folioscope.operators import keypoints  # noqa: F401  it adds its extractors to the table

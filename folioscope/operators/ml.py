@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscope.functions.scalars import argmax
 
@@ -58,12 +59,12 @@ def _with_names(scored: DataFrame, labels: Sequence[str], distribution: Column)
     return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
-def svm(scale: bool = True, iterations: int = 30) -> Fit:
-    """Linear support vectors, one class against the rest; the distribution is one-hot, as votes of such a classifier are."""
+def _one_against_rest(make: Callable[[], object], scale: bool) -> Fit:
+    """A learner of Spark's for two classes; made when it is fitted, as that needs a session."""
 
     def fit(train: DataFrame, features: Sequence[str], label: str):
         index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc")
-        learner = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01), featuresCol="__features", labelCol="__label", predictionCol="__pred")
+        learner = OneVsRest(classifier=make().setRawPredictionCol("__r"), featuresCol="__features", labelCol="__label", predictionCol="__pred", rawPredictionCol="__r")
         model = Pipeline(stages=[index, *_assembled(features, scale), learner]).fit(train)
         labels = model.stages[0].labels
         rest = PipelineModel(model.stages[1:])
@@ -78,13 +79,19 @@ def svm(scale: bool = True, iterations: int = 30) -> Fit:
     return fit
 
 
-def logistic(scale: bool = True, iterations: int = 50, weight: str | None = None) -> Fit:
-    """Multinomial logistic regression, for distributions that are probabilities."""
+def svm(scale: bool = True, iterations: int = 30) -> Fit:
+    """Linear support vectors, one class against the rest; the distribution is one-hot, as votes of such a classifier are."""
+    return _one_against_rest(lambda: LinearSVC(maxIter=iterations, regParam=0.01), scale)
+
+
+def _probable(make: Callable[[], object], scale: bool) -> Fit:
+    """A learner of Spark's that gives probabilities."""
 
     def fit(train: DataFrame, features: Sequence[str], label: str):
         index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc")
-        learner = LogisticRegression(maxIter=iterations, regParam=0.01, featuresCol="__features", labelCol="__label", predictionCol="__pred", probabilityCol="__p", rawPredictionCol="__r", **({"weightCol": weight} if weight else {}))
-        model = Pipeline(stages=[index, *_assembled(features, scale), learner]).fit(train)
+        learner = make()
+        own = learner.copy({learner.featuresCol: "__features", learner.labelCol: "__label", learner.predictionCol: "__pred", learner.probabilityCol: "__p", learner.rawPredictionCol: "__r"})
+        model = Pipeline(stages=[index, *_assembled(features, scale), own]).fit(train)
         labels, rest = model.stages[0].labels, PipelineModel(model.stages[1:])
 
         def score(rows: DataFrame) -> DataFrame:
@@ -96,6 +103,66 @@ def logistic(scale: bool = True, iterations: int = 50, weight: str | None = None
     return fit
 
 
+def logistic(scale: bool = True, iterations: int = 50, weight: str | None = None) -> Fit:
+    """Multinomial logistic regression, for distributions that are probabilities."""
+    return _probable(lambda: LogisticRegression(maxIter=iterations, regParam=0.01, **({"weightCol": weight} if weight else {})), scale)
+
+
+def tree(depth: int = 10, weight: str | None = None) -> Fit:
+    return _probable(lambda: DecisionTreeClassifier(maxDepth=depth, seed=1, **({"weightCol": weight} if weight else {})), False)
+
+
+def forest(trees: int = 50, depth: int = 8, seed: int = 1, weight: str | None = None) -> Fit:
+    return _probable(lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **({"weightCol": weight} if weight else {})), False)
+
+
+def bayes(weight: str | None = None) -> Fit:
+    """Naive Bayes with a normal distribution of each feature in each class."""
+    return _probable(lambda: NaiveBayes(modelType="gaussian", **({"weightCol": weight} if weight else {})), False)
+
+
+def boosting(rounds: int = 20, depth: int = 3, seed: int = 1) -> Fit:
+    """Boosted trees, one class against the rest; the distribution is one-hot."""
+    return _one_against_rest(lambda: GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed), False)
+
+
+def pairwise_svm(scale: bool = True, iterations: int = 30, degree: int = 1) -> Fit:
+    """Support vectors for each pair of classes, which vote; the distribution is each class's share of the votes, ties go to the first class.
+
+    ``degree`` above 1 adds all products of so many features at most, which a polynomial kernel would work on. The
+    prepared rows are cached while the K(K-1)/2 models are trained.
+    """
+
+    def fit(train: DataFrame, features: Sequence[str], label: str):
+        index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc")
+        more = [PolynomialExpansion(degree=degree, inputCol="__features", outputCol="__products")] if degree > 1 else []
+        ready = Pipeline(stages=[index, *_assembled(features, scale), *more]).fit(train)
+        vector = "__products" if more else "__features"
+        labels, rest = ready.stages[0].labels, PipelineModel(ready.stages[1:])
+        prepared = ready.transform(train).select("__label", vector).persist()
+        models = []
+        for a in range(len(labels)):
+            for b in range(a + 1, len(labels)):
+                both = prepared.filter(F.col("__label").isin(a, b)).withColumn("__side", (F.col("__label") == a).cast("double"))
+                learner = LinearSVC(maxIter=iterations, regParam=0.01, featuresCol=vector, labelCol="__side", predictionCol=f"__vote_{a}_{b}", rawPredictionCol=f"__margin_{a}_{b}")
+                models.append((a, b, learner.fit(both)))
+        prepared.unpersist()
+
+        def score(rows: DataFrame) -> DataFrame:
+            out = rest.transform(rows)
+            votes = [F.lit(0.0)] * len(labels)
+            for a, b, model in models:
+                out = model.transform(out)
+                won = F.col(f"__vote_{a}_{b}")
+                votes[a], votes[b] = votes[a] + won, votes[b] + (1 - won)
+            return _with_names(out, labels, F.array(*[v / len(models) for v in votes]) if models else F.array(F.lit(1.0)))
+
+        score.labels = labels
+        return score
+
+    return fit
+
+
 def cross_validate(df: DataFrame, key: str, features: Sequence[str], label: str, fit: Fit, k: int = 10, seed: int = 1) -> DataFrame:
     """(key, fold, gold, pred): every row scored by a model that hasn't seen it."""
     dealt = folds(clean(df, label), key, label, k, seed)
@@ -153,6 +220,12 @@ class Hierarchy:
     def __init__(self, children: Mapping[str, Sequence[str]], root: str):
         self.children, self.root = {k: list(v) for k, v in children.items()}, root
 
+    @classmethod
+    def of_groups(cls, pairs: Sequence[tuple[str | None, str]], root: str = "ROOT") -> Hierarchy:
+        """root, the groups, and their classes, from (class, group) in order; what has no class is left out, and so are groups without any."""
+        groups = list(dict.fromkeys(group for name, group in pairs if name is not None))
+        return cls({root: groups} | {g: list(dict.fromkeys(name for name, group in pairs if group == g and name is not None)) for g in groups}, root)
+
     def leaves(self, node: str | None = None) -> list[str]:
         node = self.root if node is None else node
         below = self.children.get(node)
@@ -221,14 +294,30 @@ def centres(model, spark) -> DataFrame:
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id int, centre array<double>")
 
 
-def cluster_membership(df: DataFrame, features: Sequence[str], k: int, seed: int = 1) -> DataFrame:
-    """Adds membership_<i>, the probabilities of a Gaussian mixture over the features."""
+def centre_lines(model, spark) -> DataFrame:
+    """A centre's numbers, joined by commas, one line a centre in the order of clusters."""
+    return centres(model, spark).orderBy("cluster_id").select(F.array_join(F.transform("centre", lambda x: x.cast("string")), ",").alias("line"))
+
+
+def cluster_membership(df: DataFrame, features: Sequence[str], k: int | None = None, seed: int = 1, label: str | None = None) -> DataFrame:
+    """Adds membership_<i>, the probabilities of a Gaussian mixture over the features; without k, of as many parts as ``label`` has classes."""
+    if k is None:
+        if label is None:
+            raise ValueError("either k or a label")
+        k = max(2, df.agg(F.count_distinct(label)).first()[0])
     ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
     out = GaussianMixture(k=k, seed=seed, probabilityCol="__p", predictionCol="__c").fit(ready).transform(ready)
     p = vector_to_array("__p")
     return out.select(*df.columns, *[p[i].alias(f"membership_{i}") for i in range(k)])
 
 
-def batch_score(model_path: str, rows: DataFrame) -> DataFrame:
-    """A saved pipeline applied to rows."""
+def batch_score(model_path: str, rows: DataFrame, header: T.StructType | None = None) -> DataFrame:
+    """A saved pipeline applied to rows. With a header, its last column must be the class, of type string, and rows must have all others with their types."""
+    if header is not None:
+        if not header.fields or not isinstance(header.fields[-1].dataType, T.StringType):
+            raise ValueError("the last column of the header must be the class, as a string")
+        there = {f.name: f.dataType for f in rows.schema.fields}
+        wrong = [f.name for f in header.fields[:-1] if there.get(f.name) != f.dataType]
+        if wrong:
+            raise ValueError(f"rows don't fit the header: {', '.join(wrong)}")
     return PipelineModel.load(model_path).transform(rows)

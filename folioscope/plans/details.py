@@ -192,3 +192,10 @@ def flat_xml_evaluation(spark, sf_dir):
     by_label = evaluate.confusion(pairs)
     by_group = evaluate.merge(evaluate.by_group(by_label, groups))
     return by_label.select(F.lit("label").alias("level"), "gold", "pred", "n").unionByName(by_group.select(F.lit("group").alias("level"), "gold", "pred", "n"))
+
+
+@query("select (doc_id % 10) || chr(9) || (quality + 1) || ':q' || quality || chr(9) || (toxic + 1) || ':q' || toxic || chr(9) || case when quality = toxic then '' else '+' end || chr(9) || '(' || doc_id || ')' as line from labels")
+def validation_lines(spark, sf_dir):
+    name = lambda c: F.concat(F.lit("q"), F.col(c).cast("string"))
+    scored = table(spark, sf_dir, "labels").select("doc_id", F.pmod("doc_id", F.lit(10)).cast("int").alias("fold"), name("quality").alias("gold"), name("toxic").alias("pred"))
+    return sinks.validation_lines(scored, "doc_id", ["q0", "q1"])

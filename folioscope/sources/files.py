@@ -25,15 +25,16 @@ def whole_texts(spark: SparkSession, path, charset: str = "UTF-8", glob: str | N
 
 
 def binary_files(spark: SparkSession, path, glob: str | None = None, files_per_task: int | None = None) -> DataFrame:
-    """(key, value): one row a file. ``files_per_task`` packs so many files into a task; without it Spark packs by size."""
+    """(key, value): one row a file. ``files_per_task`` packs so many files into a task, 0 as many as give every core one task; without it Spark packs by size."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
     out = raw.select(scalars.basename(F.col("path")).alias("key"), F.col("content").alias("value"), "path")
-    if files_per_task:
+    if files_per_task is not None:
         # Only paths are counted and dealt; each task then reads its files' contents.
         if files_per_task < 0:
             raise ValueError("files_per_task must not be negative")
-        out = out.repartition(max(1, -(-raw.select("path").count() // files_per_task)), "path")
+        tasks = -(-raw.select("path").count() // files_per_task) if files_per_task else spark.sparkContext.defaultParallelism
+        out = out.repartition(max(1, tasks), "path")
     return out.drop("path")
 
 
@@ -57,14 +58,14 @@ def plain_csv(spark: SparkSession, path, sep: str = ",") -> DataFrame:
     return out
 
 
-def typed_csv(spark: SparkSession, path, sep: str | None = None, missing: str = "?", nominal: str = "", text: str = "") -> DataFrame:
+def typed_csv(spark: SparkSession, path, sep: str | None = None, missing: str = "?", nominal: str = "", text: str = "", quote: str = '"') -> DataFrame:
     """A table with typed columns: a column is numeric until a value isn't a number, then text as a whole.
 
-    Comma or tab; quoted values; ``%`` begins a comment line; empty and ``missing`` are null; a row of the wrong length is
+    Comma or tab; values in ``quote``, which may be ``'``; ``%`` begins a comment line; empty and ``missing`` are null; a row of the wrong length is
     an error; ``3D`` is no number. ``nominal`` and ``text`` are ranges (first-last, from 1) that are never numeric.
     Metadata says what a column became. Types come from one aggregation over the table.
     """
-    options = dict(header=True, comment="%", nullValue=missing, mode="FAILFAST", inferSchema=False)
+    options = dict(header=True, comment="%", nullValue=missing, mode="FAILFAST", inferSchema=False, quote=quote)
     if sep is None:
         head = spark.read.text(path).filter(~F.col("value").startswith("%")).first()
         sep = "\t" if head and "\t" in head[0] else ","
@@ -179,6 +180,12 @@ def tar_entries(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string, content binary")
 
 
+def tar_to_parquet(spark: SparkSession, path, to: str) -> DataFrame:
+    """The files of tar archives, written as compressed Parquet (name, content) and read again."""
+    tar_entries(spark, path).write.mode("overwrite").option("compression", "zstd").parquet(to)
+    return spark.read.parquet(to)
+
+
 def term_table(spark: SparkSession, url: str, table: str, properties: dict | None = None, key: str = "pmid", term: str = "descriptor_name", **partitioning) -> DataFrame:
     """(key, terms) of a database table of (key, term) rows; ``partitioning`` splits the read by a column's ranges."""
     rows = spark.read.jdbc(url, table, properties=properties or {}, **partitioning)

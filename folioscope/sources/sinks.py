@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.scalars import clean_header, number_text
 from folioscope.operators.joins import lookup
+from folioscope.operators.rules_engine import predict_articles
 from folioscope.sources import articles as art
 
 
@@ -42,6 +43,13 @@ def debug_lines(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
     return df.select(F.concat_ws("\t", F.col(key).cast("string"), F.col(gold).cast("string"), F.col(pred).cast("string"), F.lit("1.0")).alias("line"))
 
 
+def validation_lines(df: DataFrame, key: str, labels: Sequence[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """The log of a cross-validation, a line a row: fold, true and predicted class with their numbers from 1, ``+`` where they differ, id."""
+    named = lambda c: F.concat(F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(c)).cast("string"), F.lit(":"), F.col(c))
+    wrong = F.when(F.col(gold) == F.col(pred), "").otherwise("+")
+    return df.select(F.concat_ws("\t", F.col("fold").cast("string"), F.coalesce(named(gold), F.lit("?")), F.coalesce(named(pred), F.lit("?")), wrong, F.concat(F.lit("("), F.col(key).cast("string"), F.lit(")"))).alias("line"))
+
+
 def distribution(df: DataFrame, key: str, probability: str, classes: Sequence[str], least: float = 1e-5) -> DataFrame:
     """key and one float column a class; next to nothing becomes 0."""
     cell = lambda i: F.when(F.col(probability)[i] > least, F.col(probability)[i]).otherwise(0.0).cast("float")
@@ -105,6 +113,11 @@ def write_terms(df: DataFrame, url: str, table: str, properties: dict | None = N
     df.select(F.col(key), F.explode(terms).alias(term)).write.mode("append").jdbc(url, table, properties=properties or {})
 
 
+def write_predicted(articles: DataFrame, path: str, **rules) -> None:
+    """The flat form of articles, with what the rules predict for their graphics merged in."""
+    art.write_flat(predict_articles(articles, **rules), path)
+
+
 def write_training_tree(articles: DataFrame, truth: DataFrame, groups: DataFrame, path: str) -> None:
     """Captions of labelled graphics by label and by group, and the articles that have one. groups: (label, grp)."""
     pairs = art.captions(articles).join(truth.withColumnRenamed("code", "label"), "graphic_id").join(groups.select("label", "grp"), "label")
