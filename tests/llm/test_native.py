@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import pii, quality, queries, secrets, urls
+from folioscope.llm import oracle, pii, quality, queries, secrets, urls
 from tests.llm.fixtures import documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -239,3 +239,15 @@ def test_urls_equal_brute_force(spark, sf_dir):
     assert odd.columns == ["page_id", "url", "__rule", "n.dot", "host", "path", "rule", "verdict"] and odd.count() == df.count()
     empty = spark.createDataFrame([], "page_id long, url string, host string")
     assert urls.filter_urls(empty, urls.rule_table(spark, rules)).count() == 0
+
+
+def test_url_query_follows_the_rules_of_its_contract(spark, tmp_path):
+    rules = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+    hosts, paths = ["com", "example.com", "www.example.com", "net", "a.net", "example.net", "www.example.net", "org", "example.org"], ["/en/", "/en/7", "/de/", "/de/8", "/es/", "/"]
+    rows = list(enumerate(f"http://{h}{p}" for h in hosts for p in paths))
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = [(i, *brute_url(u, rules)) for i, u in rows]
+    assert sorted(tuple(r) for r in queries.op5_url_filters(spark, str(tmp_path)).collect()) == want
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(duck.sql(oracle.ORACLE["op5_url_filters"]).fetchall()) == want
