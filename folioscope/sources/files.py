@@ -5,6 +5,8 @@ from __future__ import annotations
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
+from itertools import zip_longest
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -202,16 +204,69 @@ def medline_terms(df: DataFrame, body: str = "body") -> DataFrame:
 
 #: Where a citation keeps its parts.
 CITATION = {"title": "//ArticleTitle/text()", "journal": "//Journal/ISOAbbreviation/text()", "year": "//JournalIssue/PubDate/Year/text()", "volume": "//JournalIssue/Volume/text()", "issue": "//JournalIssue/Issue/text()", "pages": "//Pagination/MedlinePgn/text()", "abstract": "//AbstractText/text()"}
+#: Where it keeps what its authors are called.
+AUTHOR = {"last": "//AuthorList/Author/LastName/text()", "initials": "//AuthorList/Author/Initials/text()"}
+
+
+def _text_nodes(text: str, ends: dict[str, list[tuple[str, list[str]]]]) -> dict[str, list[str]]:
+    """The text nodes of one XML text by name, in document order, from one parse; ends: (name, path) by a path's last element.
+
+    As in XPath, comments, instructions and elements part text nodes; entities and CDATA sections don't."""
+    found: dict[str, list[str]] = {name: [] for own in ends.values() for name, _ in own}
+    path: list[str] = []
+    pieces: list[str] = []
+
+    def close(*_) -> None:
+        if pieces:
+            for name, wanted in ends.get(path[-1], ()):
+                if path[-len(wanted) :] == wanted:
+                    found[name].append("".join(pieces))
+            pieces.clear()
+
+    def start(name: str, _) -> None:
+        if pieces:
+            close()
+        path.append(name.rpartition(":")[2] if ":" in name else name)
+
+    def end(_) -> None:
+        if pieces:
+            close()
+        path.pop()
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, pieces.append
+    parser.CommentHandler = parser.ProcessingInstructionHandler = close
+    parser.Parse(text, True)
+    return found
 
 
 def citation(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds title, authors (``Last, Initials``), source and abstract of a citation; a missing part is an error."""
-    part = {k: F.xpath_string(F.col(xml), F.lit(p)) for k, p in CITATION.items()}
+    """Adds title, authors (``Last, Initials``), source and abstract of a citation; a missing part is an error.
+
+    A text is parsed once for all parts; an XPath function for each would parse it again each time."""
+    ends: dict[str, list[tuple[str, list[str]]]] = {}
+    for name, path in (CITATION | AUTHOR).items():
+        steps = path.removeprefix("//").removesuffix("/text()").split("/")
+        ends.setdefault(steps[-1], []).append((name, steps))
+
+    @F.pandas_udf(", ".join(f"{k} string" for k in (*CITATION, "authors")))
+    def parts(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            if not text:
+                rows.append([None] * (len(CITATION) + 1))
+                continue
+            found = _text_nodes(text, ends)
+            authors = "; ".join(", ".join(x for x in pair if x is not None) for pair in zip_longest(found["last"], found["initials"]))
+            rows.append([*(found[k][0] if found[k] else None for k in CITATION), authors])
+        return pd.DataFrame(rows, columns=[*CITATION, "authors"], dtype=object)
+
+    part = F.col("__citation")
     need = lambda k: F.when(F.length(part[k]) > 0, part[k]).otherwise(F.raise_error(F.lit(f"no {k}")).cast("string"))
-    last, first = (F.xpath(F.col(xml), F.lit(f"//AuthorList/Author/{n}/text()")) for n in ("LastName", "Initials"))
-    authors = F.array_join(F.zip_with(last, first, lambda a, b: F.concat_ws(", ", a, b)), "; ")
     source = F.format_string("%s %s;%s(%s):%s", need("journal"), need("year"), need("volume"), need("issue"), need("pages"))
-    return df.select("*", need("title").alias("title"), authors.alias("authors"), source.alias("source_text"), need("abstract").alias("abstract"))
+    out = df.withColumn("__citation", parts(F.col(xml)))
+    return out.select("*", need("title").alias("title"), part["authors"].alias("authors"), source.alias("source_text"), need("abstract").alias("abstract")).drop("__citation")
 
 
 def headings(df: DataFrame, xml: str = "xml") -> DataFrame:

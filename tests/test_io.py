@@ -117,6 +117,30 @@ def test_citations(spark):
     assert (r.title, r.authors, r.source_text) == ("T", "L, I", "J 2010;1(2):3-4")
 
 
+def test_citations_equal_xpath_from_one_parse(spark):
+    """What XPath functions give, on odd texts, but from one call for each text."""
+    last = "<Author><LastName>{}</LastName><Initials>{}</Initials></Author>"
+    whole = '<?xml version="1.0" encoding="ISO-8859-1"?>{}<r{}><ArticleTitle>{}</ArticleTitle><Journal><ISOAbbreviation>J</ISOAbbreviation><JournalIssue><Volume>1</Volume><Issue>2</Issue><PubDate><Year>2010</Year></PubDate></JournalIssue></Journal><Pagination><MedlinePgn>3-4</MedlinePgn></Pagination><AbstractText>A</AbstractText><AuthorList>{}</AuthorList></r>'
+    titles = ["a<i>b</i>c", "<i>b</i>c", " \r\n<b/>x", "a<!-- no -->b", "a<?p i?>b", "x<![CDATA[<y>]]>z", "&#xe9;&amp;\U0001f600 é", "q" * 9000 + "&lt;" + "r" * 9000, "T</ArticleTitle><ArticleTitle>second", "<ArticleTitle>in</ArticleTitle>out", "<Year>1</Year>t"]
+    texts = [whole.format("", "", t, last.format("L", "I") + last.format("M<!-- -->N", "K")) for t in titles]
+    texts += [whole.format("", "", "t", a) for a in ("", "<Author><LastName>L</LastName></Author>", "<x>" + last.format("no", "no") + "</x>", "<Author><Initials>I</Initials></Author>" + last.format("L", "K"))]
+    texts += [whole.format('<!DOCTYPE r [<!ENTITY e "ent">]>', "", "a&e;b", ""), whole.format("", ' xmlns="urn:x"', "t", last.format("L", "I"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, xml string")
+    x = lambda p: F.xpath_string("xml", F.lit(p))
+    both = F.zip_with(*[F.xpath("xml", F.lit(p)) for p in files.AUTHOR.values()], lambda a, b: F.concat_ws(", ", a, b))
+    own = {k: x(p) for k, p in files.CITATION.items()}
+    source = F.format_string("%s %s;%s(%s):%s", *[own[k] for k in ("journal", "year", "volume", "issue", "pages")])
+    want = df.select("id", own["title"], F.array_join(both, "; "), source, own["abstract"])
+    got = files.citation(df)
+    assert got.columns == ["id", "xml", "title", "authors", "source_text", "abstract"]
+    assert sorted(map(tuple, got.drop("xml").collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xpath" not in plan and plan.count("ArrowEvalPython") == 1
+    for text, message in ((None, "no title"), ("", "no title"), (texts[0].replace("2010", ""), "no year"), ("<r><ArticleTitle>", "no element found")):
+        with pytest.raises(Exception, match=message):
+            files.citation(spark.createDataFrame([(text,)], "xml string")).collect()
+
+
 def test_export_lines(spark, tmp_path):
     df = spark.createDataFrame([('"i1"', 0.5, 0.0, 2.0, "CT"), ("i2", 1.0, 1.0, 1.0, "ZZ")], "id string, a double, b double, c double, label string")
     classes = spark.createDataFrame([("CT", 4)], "label string, id int")
