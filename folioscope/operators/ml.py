@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -14,9 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions.scalars import argmax
+from folioscope.shared import written
 
 #: Parts that a class is sorted in when folds are dealt.
 BUCKETS = 1024
+#: What support vectors pay for the squares of their weights, and by how little (relatively) their loss still has to fall.
+SVM_REG, SVM_TOL = 0.01, 1e-6
+#: Rows times models that a worker holds at once.
+BLOCK_CELLS = 1_000_000
 #: fit(train, features, label) -> score(rows) -> rows with ``distribution`` and ``pred``
 Fit = Callable[[DataFrame, Sequence[str], str], Callable[[DataFrame], DataFrame]]
 
@@ -80,8 +88,13 @@ def _one_against_rest(make: Callable[[], object], scale: bool) -> Fit:
 
 
 def svm(scale: bool = True, iterations: int = 30) -> Fit:
-    """Linear support vectors, one class against the rest; the distribution is one-hot, as votes of such a classifier are."""
-    return _one_against_rest(lambda: LinearSVC(maxIter=iterations, regParam=0.01), scale)
+    """Linear support vectors, one class against the rest; the distribution is one-hot, as votes of such a classifier are.
+
+    In a cross-validation the models of all folds and classes are trained side by side (``_svm_folds``), as each one by
+    itself takes a job of Spark's an iteration. Its features are standardised with or without ``scale``."""
+    fit = _one_against_rest(lambda: LinearSVC(maxIter=iterations, regParam=SVM_REG), scale)
+    fit.folds = lambda dealt, key, features, label, k: _svm_folds(dealt, key, features, label, k, iterations)
+    return fit
 
 
 def _probable(make: Callable[[], object], scale: bool) -> Fit:
@@ -163,9 +176,170 @@ def pairwise_svm(scale: bool = True, iterations: int = 30, degree: int = 1) -> F
     return fit
 
 
+def _minimised(x: np.ndarray, iterations: int, tol: float, memory: int = 10):
+    """A generator that names points, is sent (value, gradient) of each, and returns the best: limited-memory quasi-Newton steps.
+
+    A step is halved between bounds until it meets the weak Wolfe conditions, which kinks of the hinge loss allow."""
+    value, grad = yield x
+    values, steps = [value], []
+    for i in range(iterations):
+        way, used = -grad, []
+        for s, y, rho in reversed(steps):
+            used.append(rho * s.dot(way))
+            way = way - used[-1] * y
+        if steps:
+            s, y, _ = steps[-1]
+            way = way * (s.dot(y) / y.dot(y))
+        for (s, y, rho), a in zip(steps, reversed(used)):
+            way = way + s * (a - rho * y.dot(way))
+        slope = way.dot(grad)
+        if slope >= 0:
+            return x
+        step, low, high = 0.5 / np.linalg.norm(grad) if i == 0 else 1.0, 0.0, np.inf
+        for _ in range(20):
+            to = x + step * way
+            got, to_grad = yield to
+            if got > value + 1e-4 * step * slope:
+                high = step
+            elif to_grad.dot(way) < 0.9 * slope:
+                low = step
+            else:
+                break
+            step = (low + high) / 2 if high < np.inf else 2 * step
+        if got >= value:
+            return x
+        s, y = to - x, to_grad - grad
+        if s.dot(y) > 0:
+            steps = [*steps, (s, y, 1 / s.dot(y))][-memory:]
+        x, value, grad = to, got, to_grad
+        values.append(value)
+        if np.linalg.norm(grad) <= max(tol * abs(value), 1e-8) or np.mean(values[-11:-1]) - value <= tol * abs(value):
+            return x
+    return x
+
+
+def _by_task(rows: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """What work(vectors, folds, classes) adds up to in each task, a matrix."""
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                vectors = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                part = work(vectors, b.column("fold").to_numpy(zero_copy_only=False), b.column("y").to_numpy(zero_copy_only=False))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"m": [total.tobytes()], "n": [len(total)]}, schema=pa.schema([("m", pa.binary()), ("n", pa.int32())]))
+
+    found = rows.select("x", "fold", "y").mapInArrow(run, "m binary, n int").collect()
+    return [np.frombuffer(r.m).reshape(r.n, -1) for r in found]
+
+
+def _svm_folds(dealt: DataFrame, key: str, features: Sequence[str], label: str, k: int, iterations: int) -> DataFrame:
+    """(key, fold, gold, pred) of dealt rows, each scored by the models that were trained without its fold.
+
+    A model is LinearSVC's: the mean hinge loss, plus SVM_REG / 2 times the squared weights of features that are centred
+    and divided by their deviation in the model's own rows. A job evaluates one point of each model over all rows, by
+    matrix products, and brings back sums of the size of the models (folds x classes x features) from each task.
+    """
+    ready = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(dealt)
+    ready = written(ready.select(key, "fold", F.col(label).alias("gold"), vector_to_array("__x").alias("__x"), F.col(label).cast("string").alias("__name")), "dealt")
+    counts = ready.groupBy("fold", "__name").agg(F.count("*").alias("n")).collect()
+    names = sorted({r["__name"] for r in counts})
+    if not names:
+        return ready.select(key, "fold", "gold", F.lit(None).cast("string").alias("pred"))
+    name = F.array(*[F.lit(x) for x in names])
+    rows = ready.select(F.col("__x").alias("x"), "fold", (F.array_position(name, F.col("__name")) - 1).cast("int").alias("y"))
+    n = np.zeros((k, len(names)))
+    for r in counts:
+        n[r["fold"], names.index(r["__name"])] = r["n"]
+    without = n.sum(0) - n  # of each fold, the rows of each class that its models see
+    if any(n[i].any() and not without[i].any() for i in range(k)):
+        raise ValueError("a fold leaves no rows to train on")
+    models = [(i, c) for i in range(k) if n[i].any() for c in range(len(names)) if without[i, c]]
+    own, classes = np.array(models).T
+    size = without.sum(1)[own]
+
+    def moments(about, power):
+        def work(x, fold, y):
+            if not np.isfinite(x).all():
+                raise ValueError("a feature is null or not finite")
+            return np.stack([((x[fold == i] - about[i]) ** power).sum(0) for i in range(k)])
+
+        return sum(_by_task(rows, work))
+
+    sums = moments(np.zeros((k, 1)), 1)
+    width = sums.shape[1]
+    fold_n = n.sum(1)
+    middle = sums.sum(0) / fold_n.sum()
+    mean_by_fold = sums / np.maximum(fold_n, 1)[:, None]
+    squares = moments(mean_by_fold, 2)
+    mean, deviation = np.zeros((k, width)), np.zeros((k, width))
+    for i in range(k):
+        seen = np.arange(k) != i
+        m = fold_n[seen].sum()
+        if m:
+            mean[i] = sums[seen].sum(0) / m
+            spread = squares[seen].sum(0) + (fold_n[seen][:, None] * (mean_by_fold[seen] - mean[i]) ** 2).sum(0)
+            deviation[i] = np.sqrt(spread / max(m - 1, 1))
+    inverse = np.divide(1, deviation, out=np.zeros_like(deviation), where=deviation > 0)[own].T
+    centre = (mean - middle)[own].T
+
+    def evaluate(at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values and gradients of some models; a column a model, weights, then the intercept."""
+        raw = at[:-1] * inverse[:, which]
+        shift = at[-1] - (centre[:, which] * raw).sum(0)
+        mine, side, block = own[which], classes[which], max(1, BLOCK_CELLS // len(which))
+
+        def work(x, fold, y):
+            total = np.zeros((width + 2, len(mine)))
+            for a in range(0, len(x), block):
+                b = slice(a, a + block)
+                z = x[b] - middle
+                sign = np.where(y[b, None] == side, 1.0, -1.0)
+                slack = 1 - sign * (z @ raw + shift)
+                sign[(slack <= 0) | (fold[b, None] == mine)] = 0
+                total[:width] -= z.T @ sign
+                total[width] -= sign.sum(0)
+                total[width + 1] += (slack * abs(sign)).sum(0)
+            return total
+
+        got = sum(_by_task(rows, work)) / size[which]
+        weights = (got[:width] - centre[:, which] * got[width]) * inverse[:, which] + SVM_REG * at[:-1]
+        return got[width + 1] + SVM_REG / 2 * (at[:-1] ** 2).sum(0), np.vstack([weights, got[width]])
+
+    found = np.zeros((width + 1, len(models)))
+    searches = [_minimised(found[:, j].copy(), iterations, SVM_TOL) for j in range(len(models))]
+    points = {j: next(search) for j, search in enumerate(searches)}
+    while points:
+        which = np.array(sorted(points))
+        values, grads = evaluate(np.stack([points[j] for j in which], axis=1), which)
+        for at, j in enumerate(which):
+            try:
+                points[j] = searches[j].send((values[at], grads[:, at]))
+            except StopIteration as end:
+                found[:, j] = end.value
+                del points[j]
+
+    raw = found[:-1] * inverse
+    shift = found[-1] - (centre * raw).sum(0)
+
+    @F.pandas_udf("int")
+    def best(x: pd.Series, fold: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), dtype="int32")
+        for i in set(fold):
+            at, mine = (fold == i).to_numpy(), own == i
+            out[at] = classes[mine][((np.stack(list(x[at])) - middle) @ raw[:, mine] + shift[mine]).argmax(1)]
+        return pd.Series(out)
+
+    return ready.select(key, "fold", "gold", F.get(name, best("__x", "fold")).alias("pred"))
+
+
 def cross_validate(df: DataFrame, key: str, features: Sequence[str], label: str, fit: Fit, k: int = 10, seed: int = 1) -> DataFrame:
-    """(key, fold, gold, pred): every row scored by a model that hasn't seen it."""
+    """(key, fold, gold, pred): every row scored by a model that hasn't seen it. A fit with an attribute ``folds`` trains for all folds at once."""
     dealt = folds(clean(df, label), key, label, k, seed)
+    if hasattr(fit, "folds"):
+        return fit.folds(dealt, key, features, label, k)
     out = None
     for i in range(k):
         score = fit(dealt.filter(F.col("fold") != i), features, label)

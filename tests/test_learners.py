@@ -68,6 +68,46 @@ def test_log_of_a_validation(three):
     assert f"{row.fold}\t{n[row.gold]}:{row.gold}\t{n[row.pred]}:{row.pred}\t{'' if row.gold == row.pred else '+'}\t({row.id})" in lines
 
 
+def test_support_vectors_of_all_folds_are_trained_side_by_side(spark, three):
+    """Every row once, whatever its features' scale, without a job for each step of each model."""
+    one = spark.createDataFrame([(1000, 9.0, 9.0, "once")], three.schema)  # a class that its own fold's models can't know
+    wide = three.filter("id < 60").unionByName(one).withColumn("y", F.col("y") * 1e4 + 1e6).withColumn("flat", F.lit(3.0))
+    spark.sparkContext.setJobGroup("folds", "folds")
+    try:
+        got = ml.cross_validate(wide, "id", ["x", "y", "flat"], "label", ml.svm(iterations=5), k=2).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds"))
+    finally:
+        spark.sparkContext.setJobGroup("other", "other")
+    assert got[0].asDict().keys() == {"id", "fold", "gold", "pred"} and len(got) == 61 and jobs < 60
+    assert sum(r.pred == r.gold for r in got) >= 58 and next(r.pred for r in got if r.id == 1000) != "once"
+    whole = ml.cross_validate(three.withColumn("label", F.lit(7)).filter("id < 9"), "id", ["x"], "label", ml.svm(iterations=5), k=20).collect()
+    assert len(whole) == 9 and {(r.gold, r.pred) for r in whole} == {(7, "7")}
+    with pytest.raises(Exception, match="not finite"):
+        ml.cross_validate(three.withColumn("x", F.when(F.col("id") > 0, F.col("x"))), "id", ["x"], "label", ml.svm(iterations=5), k=2)
+
+
+def test_steps_reach_the_minimum():
+    """Of mean hinge loss and squared weights, compared with many small steps."""
+    draw = np.random.default_rng(3)
+    z = np.hstack([draw.normal(size=(200, 3)), np.ones((200, 1))])
+    y = np.where(z[:, 0] + draw.normal(size=200) > 0, 1.0, -1.0)
+
+    def loss(w):
+        slack = 1 - y * (z @ w)
+        return np.maximum(slack, 0).mean() + 0.005 * (w[:3] ** 2).sum(), -z.T @ (y * (slack > 0)) / 200 + 0.01 * np.append(w[:3], 0)
+
+    search = ml._minimised(np.zeros(4), 30, 1e-6)
+    at = next(search)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            at = search.send(loss(at))
+    w, least = np.zeros(4), np.inf
+    for i in range(20000):
+        value, grad = loss(w)
+        least, w = min(least, value), w - grad / (1 + 0.01 * i)
+    assert loss(end.value.value)[0] <= least * 1.005
+
+
 def test_as_many_parts_as_classes_and_centres(spark, three):
     out = ml.cluster_membership(three, ["x", "y"], label="label")
     assert out.columns[-3:] == ["membership_0", "membership_1", "membership_2"]
